@@ -19,7 +19,8 @@ from textlake.runtime import materialize, table
 
 #: A line is repeated once it stands in so many rows of its source.
 THRESHOLD = 10
-DIGITS_BLANKS = re.compile(r"[^\S\n]+|\d+")
+#: Blanks, and digits of any kind, raised and circled ones too.
+DIGITS_BLANKS = re.compile(r"[^\S\n]+|[\d\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089\u2460-\u2473]+")
 ALNUM = re.compile(r"[^\W_]")
 ROWS = "row_id bigint, source_name string, keys array<binary>, chars array<int>, spam array<int>"
 
