@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spam", "mixing", "forms", "sitelines", "quality")
+MODULES = ("spam", "mixing", "forms", "sitelines", "tokens", "packing", "quality")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
