@@ -56,7 +56,7 @@ def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text:
         other = shapes.WORD.findall(form)
         count = han + len(other)
         letters = han + sum(map(len, other))
-        digits = sum(map(str.isdigit, form)) if any(map(str.isdigit, form)) else 0
+        digits = len(shapes.DIGIT.findall(form))
         full = [line.rstrip() for line, (_, x, _) in zip(lines, kinds) if x]
         vocabulary = words.get(lg, words["und"])
         known = sum(w.lower() in vocabulary for w in other)

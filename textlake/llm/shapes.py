@@ -35,6 +35,7 @@ BLOB = re.compile(r"[A-Za-z0-9+/=]{48,}")
 RUN = re.compile(r"(.)\1{11,}")
 MOJIBAKE = re.compile("[\u00c2\u00c3\u00e2-\u00ef][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122\ufffd]")
 BLANK = re.compile(r"\s+")
+DIGIT = re.compile(r"\d")
 SYMBOLS = re.compile(r"[^\w\s]")
 #: A line of at most so many Han characters, or words, and no function word is bare; so many such lines in one text are a list.
 BARE_HAN, BARE_WORDS, BARE_LINES = 18, 10, 4
@@ -45,12 +46,15 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
     n = len(BLANK.sub("", line))
     if not n:
         return NEUTRAL, 0, 0
+    all_han = len(HAN.findall(line))
+    if all_han >= 12 and all_han * 2 > n and "://" not in line and "www." not in line and len(FUNCTION_ZH.findall(line)) >= 0.06 * all_han and END.search(line):
+        return SENTENCE, n, 0
     raw = line if raw is None else raw
     if not raw.isascii() and n >= 4:
         broken = 2 * len(MOJIBAKE.findall(raw)) + raw.count("\ufffd") + sum(0xE000 <= ord(c) <= 0xF8FF or 0x80 <= ord(c) < 0xA0 for c in raw if c > "\x7f" and not "\u3000" <= c <= "\u9fff")
         if broken > 0.05 * n and broken >= 3:
             return BROKEN, n, n
-    if CODELINE.search(line) and len(HAN.findall(line)) * 4 < n:
+    if all_han * 4 < n and CODELINE.search(line):
         return CODE, n, 0
     links = 0
     rest = line
@@ -60,7 +64,7 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
         rest = TAG.sub(" ", URL.sub(" ", line))
     elif "<a " in line:
         return LINK, n, n
-    han = len(HAN.findall(rest))
+    han = len(HAN.findall(rest)) if links else all_han
     words = WORD.findall(rest)
     low = [w.lower() for w in words]
     f_zh = len(FUNCTION_ZH.findall(rest)) if han else 0
@@ -78,7 +82,7 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
         return SYMBOL, n, n
     if BLOB.search(line) and not prose:
         return RANDOM, n, n
-    digits = sum(c.isdigit() for c in line)
+    digits = len(DIGIT.findall(line))
     symbols = len(SYMBOLS.findall(line)) + line.count("_")
     if line.count("|") >= 2 and (line.lstrip()[0] == "|" or "|-" in line) or line.count("\t") >= 2:
         return TABLE, n, n
@@ -91,8 +95,8 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
         if digits + symbols > 0.55 * n and not (prose and f_zh + f_la >= 2 and letters > 0.3 * n):
             return (NUMBER if digits > symbols else SYMBOL), n, n
     if han >= 40:
-        pairs = Counter(map("".join, zip(rest, rest[1:])))
-        top = max((c for p, c in pairs.items() if "\u3400" <= p[0] <= "\u9fff" and "\u3400" <= p[1] <= "\u9fff"), default=0)
+        pairs = Counter(zip(rest, rest[1:]))
+        top = next((c for (a, b), c in pairs.most_common(8) if "\u3400" <= a <= "\u9fff" and "\u3400" <= b <= "\u9fff"), 0)
         if 2 * top > 0.16 * han and top >= 5:
             return STUFFED, n, n
     elif len(words) >= 16 and len(words) * 4 > han:
