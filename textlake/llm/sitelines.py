@@ -40,8 +40,9 @@ def line_keys(form: str) -> list[bytes | None]:
     return out
 
 
-def profile_lines(df: DataFrame, key: str = "row_id", source: str = "source_name", text: str = "text") -> DataFrame:
-    """One narrow row per text: for each line its key, its characters without blanks, and how many of them stand in keyword or link shapes.
+def profile_lines(df: DataFrame, key: str = "row_id", source: str = "source_name", text: str = "text", with_shapes: bool = False) -> DataFrame:
+    """One narrow row per text: for each line its key, and with_shapes its characters without blanks and how many of them stand in keyword or link
+    shapes (otherwise both are 0).
 
     Null texts and null keys give no row; an empty text gives one line without a key.
     """
@@ -53,12 +54,14 @@ def profile_lines(df: DataFrame, key: str = "row_id", source: str = "source_name
             keys, chars, spam, at = [], [], [], [0]
             for t in b.column(2).to_pylist():
                 form = skeleton(t, proto)
-                kinds = shapes.page([shapes.line_kind(line) for line in form.split("\n")])
                 keys += line_keys(form)
-                for kind, n, x in kinds:
-                    chars.append(n)
-                    spam.append(x if kind in shapes.SPAM or kind == shapes.SENTENCE else 0)
-                at.append(len(chars))
+                at.append(len(keys))
+                if with_shapes:
+                    for kind, n, x in shapes.page([shapes.line_kind(line) for line in form.split("\n")]):
+                        chars.append(n)
+                        spam.append(x if kind in shapes.SPAM or kind == shapes.SENTENCE else 0)
+            if not with_shapes:
+                chars = spam = [0] * len(keys)
             lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, t)) for v, t in ((keys, pa.binary()), (chars, pa.int32()), (spam, pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["row_id", "source_name", "keys", "chars", "spam"])
 
@@ -114,12 +117,12 @@ def strip_lines(df: DataFrame, found: DataFrame, key: str = "row_id", text: str
     return df.join(cut, key, "left").withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(kept)).drop("_cut")
 
 
-def found_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def found_places(spark: SparkSession, sf_dir: str, with_shapes: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, places) of adapted_document, taken in as two deltas: the rows that came in time, then the late ones."""
     docs = table(spark, sf_dir, "adapted_document")
     late = F.coalesce(F.col("ingested_at") > F.col("fetched_at") + F.expr("interval 1 day"), F.lit(False))
     docs = docs.select("row_id", "source_name", "text", late.alias("late"))
-    first, second = materialize(profile_lines(docs.where("not late"))), materialize(profile_lines(docs.where("late")))
+    first, second = (materialize(profile_lines(docs.where(x), with_shapes=with_shapes)) for x in ("not late", "late"))
     site = SiteLines(spark)
     found = site.ingest(first).unionByName(site.ingest(second))
     return first.unionByName(second), found

@@ -51,7 +51,7 @@ def shape_report(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, found = found_places(spark, sf_dir)
+    rows, found = found_places(spark, sf_dir, with_shapes=True)
     return spam_pages(rows, found).where("is_spam").select("row_id")
 
 
