@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spam", "mixing", "pii", "forms", "sitelines", "tokens", "packing", "quality")
+MODULES = ("spam", "subjects", "mixing", "pii", "forms", "sitelines", "tokens", "packing", "quality")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
