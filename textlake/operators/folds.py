@@ -37,7 +37,7 @@ def evolving_share(df: DataFrame, order: str, size: str, special: Column, limit:
     from textlake.operators.mixture import running_total
 
     d = running_total(df.withColumn("_special", special), [], order, F.when(special, 0).otherwise(F.col(size)), "_others")
-    narrow = d.where("_special").select(order, F.col(size).cast("bigint").alias("size"), "_others")
+    narrow = d.where("_special").select(order, F.col(size).cast("bigint").alias("size"), "_others", F.lit(0).alias("_one"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -49,7 +49,7 @@ def evolving_share(df: DataFrame, order: str, size: str, special: Column, limit:
         return pdf.assign(keep=keep)[[order, "keep"]]
 
     kind = df.schema[order].dataType.simpleString()
-    ok = narrow.groupBy(F.lit(0)).applyInPandas(fold, f"{order} {kind}, keep boolean").select(F.col(order).alias("_o"), F.col("keep").alias("_k"))
+    ok = narrow.groupBy("_one").applyInPandas(fold, f"{order} {kind}, keep boolean").select(F.col(order).alias("_o"), F.col("keep").alias("_k"))
     return d.join(ok, d[order] == ok["_o"], "left").withColumn("keep", F.when(F.col("_special"), F.col("_k")).otherwise(F.lit(True))).drop("_special", "_others", "_o", "_k")
 
 

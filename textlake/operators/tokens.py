@@ -26,19 +26,31 @@ def char_vocabulary(df: DataFrame, text: str = "text", specials: tuple[str, ...]
     return s.unionByName(out)
 
 
+def _by_code_point(vocab: DataFrame) -> DataFrame:
+    """(_from, _ids): an array of ids by code point, -1 where there is none. One row, at most as long as Unicode."""
+    v = vocab.where(F.length("token") == 1).select(F.ascii("token").alias("_c"), "id")
+    m = v.agg(F.max("_c").alias("_top"), F.collect_list(F.struct("_c", "id")).alias("_pairs"))
+    # Pairs are placed by sorting them together with every code point of the range: no map is searched.
+    every = m.select(F.explode(F.sequence(F.lit(0), F.coalesce("_top", F.lit(0)))).alias("_c")).join(F.broadcast(v), "_c", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", F.coalesce("id", F.lit(-1)).alias("id")))), lambda x: x["id"]).alias("_ids"))
+
+
 def encode_chars(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "ids", unknown: int | None = None) -> DataFrame:
-    """df with the ids of its characters. Unknown characters become `unknown`, or null where none is given. The vocabulary is one map literal of a
-    bounded alphabet, broadcast."""
-    m = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_m"))
-    d = df.crossJoin(F.broadcast(m))
-    ids = F.transform(chars(F.col(text)), lambda c: F.coalesce(F.try_element_at(F.col("_m"), c), F.lit(unknown).cast("int")))
-    return d.withColumn(out, ids).drop("_m")
+    """df with the ids of its characters. Unknown characters become `unknown`, or null where none is given. The vocabulary is broadcast as one array
+    over code points, so each character is one array access."""
+    d = df.crossJoin(F.broadcast(_by_code_point(vocab)))
+
+    def look(table: Column) -> Column:
+        return F.transform(chars(F.col(text)), lambda c: F.coalesce(F.nullif(F.get(table, F.ascii(c)), F.lit(-1)), F.lit(unknown).cast("int")))
+
+    return d.withColumn(out, look(F.col("_ids"))).drop("_ids")
 
 
 def decode_chars(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "decoded", skip: tuple[int, ...] = ()) -> DataFrame:
-    m = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_m"))
+    """df with the text of its ids; unknown ids and those in skip give nothing. Vocabulary ids are dense from 0, so each is one array access."""
+    m = vocab.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]).alias("_tokens"))
     keep = F.filter(ids, lambda i: ~i.isin(*skip)) if skip else F.col(ids)
-    return df.crossJoin(F.broadcast(m)).withColumn(out, F.array_join(F.transform(keep, lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(""))), "")).drop("_m")
+    return df.crossJoin(F.broadcast(m)).withColumn(out, F.array_join(F.transform(keep, lambda i: F.coalesce(F.get("_tokens", i), F.lit(""))), "")).drop("_tokens")
 
 
 def words(text: Column) -> Column:

@@ -90,7 +90,7 @@ def distribution(df: DataFrame, key: str, logits: str, temperatures: tuple[float
     out = None
     for t in temperatures:
         d = df.select(key, F.lit(float(t)).alias("temperature"), softmax(F.col(logits), t).alias("_p"), n.alias("_n"))
-        d = d.select(key, "temperature", F.round(entropy(F.col("_p")), 9).alias("entropy"), F.round(entropy(F.col("_p")) / F.greatest(F.log(F.col("_n").cast("double")), F.lit(FLOOR)), 9).alias("normalized_entropy"), F.round(F.array_max("_p"), 9).alias("top_probability"))
+        d = d.select(key, "temperature", entropy(F.col("_p")).alias("entropy"), (entropy(F.col("_p")) / F.greatest(F.log(F.col("_n").cast("double")), F.lit(FLOOR))).alias("normalized_entropy"), F.array_max("_p").alias("top_probability"))
         out = d if out is None else out.unionByName(d)
     return out
 

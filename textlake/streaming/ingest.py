@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textlake.functions import text as T
 from textlake.operators import dedup, rules
+from textlake.runtime import materialize
 
 
 def stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16, fmt: str = "parquet") -> DataFrame:
@@ -23,8 +24,10 @@ def ingest(source: DataFrame, out: str, checkpoint: str, order: str, text: str =
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        d = rules.classify(df.withColumn(text, T.normalize_clean(F.col(text))), text, profile=profile).where("decision = 'keep'")
-        d = dedup.first_wins(d.withColumn("dedupe_key", T.compact_key(F.col(text))), F.col("dedupe_key"), F.col(order)).withColumn("batch_id", F.lit(batch_id))
+        # The batch is read twice below, and its rules read the normalised text many times: both are tables of their own.
+        clean = materialize(df.withColumn(text, T.normalize_clean(F.col(text))))
+        kept = materialize(rules.classify(clean, text, profile=profile).where("decision = 'keep'").withColumn("dedupe_key", T.compact_key(F.col(text))))
+        d = dedup.first_wins(kept, F.col("dedupe_key"), F.col(order)).withColumn("batch_id", F.lit(batch_id))
         try:
             seen = spark.read.parquet(out)
         except Exception as e:  # noqa: BLE001 - the table does not exist before the first batch
