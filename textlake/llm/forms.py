@@ -103,6 +103,12 @@ def skeleton(text: str, table: dict[int, str | None]) -> str:
     return t if t.isascii() else unicodedata.normalize("NFD", t)
 
 
+def composed(text: str, table: dict[int, str | None]) -> str:
+    """The skeleton with letters and their marks composed, for code that looks at words."""
+    s = skeleton(text, table)
+    return s if s.isascii() else unicodedata.normalize("NFC", s)
+
+
 def digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
@@ -113,7 +119,7 @@ def normalise_forms(df: DataFrame, text: str = "text", out: str = "form") -> Dat
 
     @F.arrow_udf("string")
     def form(x: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else unicodedata.normalize("NFC", skeleton(t, proto)) for t in x.to_pylist()], pa.string())
+        return pa.array([None if t is None else composed(t, proto) for t in x.to_pylist()], pa.string())
 
     return df.withColumn(out, form(F.col(text)))
 

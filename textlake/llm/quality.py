@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlake.llm import shapes
-from textlake.llm.forms import prototypes, skeleton
+from textlake.llm.forms import composed, prototypes
 from textlake.runtime import materialize, table
 
 #: Ranked statistics, all on [0, 1]: shares, and mean lengths x as x / (x + 10).
@@ -46,7 +46,7 @@ def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text:
         n_chars = len(t or "")
         if not t or not t.strip():
             return (n_chars, 0, 0, None, *[None] * len(RANKED))
-        form = skeleton(t, proto)
+        form = composed(t, proto)
         lines, raw = form.split("\n"), t.split("\n")
         kinds = shapes.page([shapes.line_kind(a, b) for a, b in zip(lines, raw)])
         n = sum(x for _, x, _ in kinds)

@@ -100,7 +100,7 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
         if 2 * top > 0.16 * han and top >= 5:
             return STUFFED, n, n
     elif len(words) >= 16 and len(words) * 4 > han:
-        top, times = Counter(w for w in low if w not in FUNCTION_LATIN).most_common(1)[0] if any(w not in FUNCTION_LATIN for w in low) else ("", 0)
+        top, times = next(iter(Counter(w for w in low if len(w) > 2 and w not in FUNCTION_LATIN).most_common(1)), ("", 0))
         if times > 0.14 * len(words) and times >= 5:
             return STUFFED, n, n
     fields = len(FIELD.findall(rest))

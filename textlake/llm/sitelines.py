@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm import shapes
-from textlake.llm.forms import digest, prototypes, skeleton
+from textlake.llm.forms import composed, digest, prototypes
 from textlake.runtime import materialize, table
 
 #: A line is repeated once it stands in so many rows of its source.
@@ -53,7 +53,7 @@ def profile_lines(df: DataFrame, key: str = "row_id", source: str = "source_name
         for b in batches:
             keys, chars, spam, at = [], [], [], [0]
             for t in b.column(2).to_pylist():
-                form = skeleton(t, proto)
+                form = composed(t, proto)
                 keys += line_keys(form)
                 at.append(len(keys))
                 if with_shapes:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm import shapes
-from textlake.llm.forms import prototypes, skeleton
+from textlake.llm.forms import composed, prototypes
 from textlake.llm.sitelines import found_places
 from textlake.runtime import table
 
@@ -38,7 +38,7 @@ def shape_report(df: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             lines, chars, pages = ([0] * len(shapes.KIND_NAMES) for _ in range(3))
             for t in b.column(0).to_pylist():
-                kinds = shapes.page([shapes.line_kind(line) for line in skeleton(t, proto).split("\n")])
+                kinds = shapes.page([shapes.line_kind(line) for line in composed(t, proto).split("\n")])
                 for k, n, _ in kinds:
                     lines[k] += n > 0
                     chars[k] += n

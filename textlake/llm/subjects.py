@@ -37,8 +37,8 @@ MIN_PURITY = 0.6
 TOP_TERMS = 20
 TOPIC_PURITY = 0.55
 #: A document has a subject from this share of its sentences on; one sentence alone is a share only in texts of up to SHORT sentences.
-MIN_SHARE = 0.19
-SHORT = 4
+MIN_SHARE = 0.16
+SHORT = 5
 
 HAN_RUN = re.compile("[㐀-鿿]+")
 LATIN_WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
