@@ -324,14 +324,18 @@ def load_report(spark, sf):
 
 # Limits and mixtures.
 
-N = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+
+def text_length():
+    return F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+
+
 _before = "coalesce(sum({v}) over (partition by {k} order by row_id rows between unbounded preceding and 1 preceding), 0)"
 
 
 @query(f"""select row_id from (select row_id, {_before.format(v="coalesce(length(text), 0)", k="source_name")} as b, row_number() over (partition by source_name order by row_id) as r from adapted_document) where b < 20000 and r <= 60""")
 def source_prefix_limit(spark, sf):
     """At most 60 rows and 20,000 characters of each source."""
-    return mixture.limit_documents(adapted(spark, sf), "row_id", N, 60, 20_000, ["source_name"]).select("row_id")
+    return mixture.limit_documents(adapted(spark, sf), "row_id", text_length(), 60, 20_000, ["source_name"]).select("row_id")
 
 
 QUOTAS = {"general_web_backbone": 150_000, "wiki": 60_000, "qa": 40_000, "comment": 5_000}
@@ -349,14 +353,14 @@ def _case(limits: dict[str, int], key: str) -> str:
     select row_id, source_type from f where c < 300000""")
 def quota_and_cap_mix(spark, sf):
     d = adapted(spark, sf).where("source_type is not null and source_name is not null")
-    return mixture.quotas_and_caps(d, "row_id", N, QUOTAS, CAPS, 300_000, "source_type").select("row_id", "source_type")
+    return mixture.quotas_and_caps(d, "row_id", text_length(), QUOTAS, CAPS, 300_000, "source_type").select("row_id", "source_type")
 
 
 @query(f"""with a as (select *, coalesce(length(text), 0)::bigint as n, {_case(QUOTAS, 'source_type')} as q from adapted_document), b as (select *, {_before.format(v='n', k='source_type')} as c from a)
     select row_id, (case when q is null or source_type = 'comment' then n else least(n, greatest(q - c, 0)) end)::bigint as written from b where (case when q is null or source_type = 'comment' then n else least(n, greatest(q - c, 0)) end) > 0""")
 def token_quota(spark, sf):
     """Characters stand for tokens; the comments may overflow."""
-    return mixture.token_quota(adapted(spark, sf).withColumn("n", N), "row_id", "n", QUOTAS, "flexible", ("comment",), "source_type").select("row_id", "written")
+    return mixture.token_quota(adapted(spark, sf).withColumn("n", text_length()), "row_id", "n", QUOTAS, "flexible", ("comment",), "source_type").select("row_id", "written")
 
 
 @query("""with w as (select source_type, sum(target_share) as w from mix_target where target_share > 0 group by 1), r as (select *, 100003 * w / (select sum(w) from w) as raw from w), f as (select *, floor(raw) as base from r)
@@ -377,27 +381,27 @@ def actual_against_target(spark, sf):
 @query()
 def strict_cap(spark, sf):
     """A fold: a row that does not fit is skipped and a later one may fit."""
-    return folds.strict_cap(adapted(spark, sf).withColumn("n", N), "source_type", "row_id", "n", QUOTAS).select("row_id", "source_type")
+    return folds.strict_cap(adapted(spark, sf).withColumn("n", text_length()), "source_type", "row_id", "n", QUOTAS).select("row_id", "source_type")
 
 
 @query()
 def evolving_share(spark, sf):
     """A fold: the share is that of the moment."""
-    return folds.evolving_share(adapted(spark, sf).withColumn("n", N), "row_id", "n", F.coalesce(F.col("source_type") == "wiki", F.lit(False)), 0.05).select("row_id", "keep")
+    return folds.evolving_share(adapted(spark, sf).withColumn("n", text_length()), "row_id", "n", F.coalesce(F.col("source_type") == "wiki", F.lit(False)), 0.05).select("row_id", "keep")
 
 
 @query("""with a as (select doc_id, length(text)::bigint as n, (('0x' || substr(sha1(text), 1, 16))::uhugeint::double / 18446744073709551615.0) < 0.04 as hit from documents where length(text) > 0),
     b as (select *, coalesce(sum(case when hit then n else 0 end) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as c from a)
     select case when hit and c < 20000 then 'val' else 'train' end as split, count(*) as docs, sum(n)::bigint as tokens from b group by 1""")
 def hash_split(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) > 0").withColumn("n", N)
+    d = table(spark, sf, "documents").where("length(text) > 0").withColumn("n", text_length())
     return mixture.split_by_hash(d, F.sha1("text"), "doc_id", "n", 20_000, 1_000_000).groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
 
 
 @query()
 def exact_shard_decisions(spark, sf):
     """Quotas and split limits at once: one ordered fold over narrow rows."""
-    d = adapted(spark, sf).where("source_type is not null").select("row_id", "source_type", N.alias("n"), (T.unit_hash(F.sha1(F.coalesce("text", F.lit("")))) < 0.1).alias("hit"))
+    d = adapted(spark, sf).where("source_type is not null").select("row_id", "source_type", text_length().alias("n"), (T.unit_hash(F.sha1(F.coalesce("text", F.lit("")))) < 0.1).alias("hit"))
     return folds.shard_exact(d, "row_id", "n", "source_type", "hit", QUOTAS, 200_000, 20_000)
 
 
@@ -439,7 +443,8 @@ def shuffled_rows(spark, sf):
     return audit.shuffled(adapted(spark, sf).select("row_id"), "row_id", 3)
 
 
-@query("select row_id, source_name, (select count(*) from adapted_document)::int as total, ceil((select count(*) from adapted_document) / 100.0)::int as total_pages, 3 as page from adapted_document order by row_id limit 100 offset 200")
+@query("""with p as (select count(*)::int as total, greatest(1, ceil(count(*) / 100.0))::int as pages from adapted_document), q as (select total, pages, least(3, pages)::int as page from p)
+    select row_id, source_name, total, pages as total_pages, page from (select *, row_number() over (order by row_id) as r from adapted_document), q where r > (page - 1) * 100 and r <= page * 100""")
 def rows_page(spark, sf):
     """The third page of 100."""
     return audit.page(adapted(spark, sf).select("row_id", "source_name"), "row_id", 3, 100)
