@@ -300,3 +300,20 @@ def test_streams(spark, tmp_path):
     assert sorted((r.key, r.change) for r in spark.read.parquet(str(tmp_path / "ev")).collect()) == [("slow", "opened"), ("slow", "resolved")]
     w = spark.createDataFrame([("running", 5, 0, False), ("running", 500, 0, False), ("running", 500, 3, False), ("x", 1, 0, True)], "state string, age_seconds int, restarts int, done boolean")
     assert [r.action for r in ingest.watchdog(w, 100, 3).collect()] == ["wait", "restart", "blocked", "complete"]
+
+
+def test_late_additions(spark):
+    from textlake.sources import readers as R
+
+    row = spark.createDataFrame([("a\n b\n \nc", "x\ny\n")], "p string, q string").select(R.paragraphs(F.col("p")).alias("p"), R.paragraphs(F.col("q")).alias("q")).first()
+    assert row.p == ["a\n b", "c"] and row.q == ["x", "y"]
+    assert R.first_available(None, spark.range(0), spark.range(2)).count() == 2 and R.first_available(None) is None
+    m = spark.createDataFrame([('{"sources":[{"name":"s","group":"g","reported_by_chatlm":{"raw_rows":5},"sampling_plan":{"max_docs":3}}]}',)], "j string").select(F.parse_json("j").alias("value"))
+    assert R.plan_rows(m).first().asDict() == {"source_name": "s", "group": "g", "category": None, "rows": 5, "max_rows": None, "max_docs": 3, "max_chars": None}
+    shards = spark.createDataFrame([("t", 0, 100), ("t", 1, 0), ("t", 2, 900), ("t", 3, None)], "split string, shard_index int, tokens bigint")
+    w = tokens.weighted_windows(shards, 200, 32, 1).collect()
+    assert len(w) == 200 and {r.shard_index for r in w} == {0, 2} and 100 < sum(r.shard_index == 2 for r in w) and all(0 <= r.first_token <= 900 - 32 for r in w)
+    v = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id int, token string")
+    assert [r.id for r in vectors.resolve_targets("#1", v).collect()] == [1] and [r.id for r in vectors.resolve_targets("cab", v, 2).collect()] == [2, 0]
+    s = runs.vocabulary_sizes(spark.createDataFrame([(32768, 100), (8192, 130)], "vocab_size int, tokens bigint")).orderBy("vocab_size").first()
+    assert s.token_increase == 0.3 and s.parameter_saving == 24576 * 640

@@ -203,6 +203,13 @@ def record_texts(spark, sf):
     return d.select("instruction_id", readers.record_text(v).alias("text")).where("text is not null").where(F.startswith("text", F.lit("指令")))
 
 
+@query(rf"""with b as (select doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n{WS}*\n'), lambda x: {_trim('x')}), lambda x: length(x) > 0) as b, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_trim('x')}), lambda x: length(x) > 0) as l from documents where text is not null)
+    select doc_id, len(case when len(b) > 1 then b else l end)::int as n, sha1(array_to_string(case when len(b) > 1 then b else l end, '|')) as h from b""")
+def paragraphs(spark, sf):
+    p = readers.paragraphs(F.col("text"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(p).alias("n"), F.sha1(F.array_join(p, "|")).alias("h"))
+
+
 # Rules.
 
 
@@ -554,6 +561,18 @@ def next_token_pairs(spark, sf):
     return tokens.next_token_pairs(d, "ids", 16).select("doc_id", "block", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
+@query()
+def weighted_windows(spark, sf):
+    """Draws are hashes."""
+    return tokens.weighted_windows(tokens.latest_shards(table(spark, sf, "shard")), 20, 128, 9)
+
+
+@query("select count(text) as texts, count(text) as same from documents")
+def round_trips(spark, sf):
+    d = table(spark, sf, "documents")
+    return tokens.round_trips(d, tokens.char_vocabulary(d))
+
+
 @query()
 def epoch_order(spark, sf):
     return tokens.epoch_order(table(spark, sf, "documents").select("doc_id"), "doc_id", 5, 2)
@@ -725,6 +744,20 @@ def event_deltas(spark, sf):
     return table(spark, sf, "events").select("event_id", "event_type", F.dense_rank().over(Window.partitionBy("event_type").orderBy("value")).cast("bigint").alias("r"), F.round(F.col("value") - F.avg("value").over(w), 6).alias("delta"))
 
 
+@query(f"with {_SUM} select run_id, round(best_val_loss - last_loss, 6) as overfit_gap, round(mean_speed * regexp_extract(run_id, '_([0-9]+)m_', 1)::double / 100, 3) as normalized_speed from s where regexp_extract(run_id, '_([0-9]+)m_', 1) <> ''")
+def experiment_rows(spark, sf):
+    s = runs.run_summary(log(spark, sf).where("step is not null")).withColumn("m", F.regexp_extract("run_id", "_([0-9]+)m_", 1)).where("m <> ''")
+    d = runs.per_hundred_million(runs.experiments(s), F.col("m").cast("double") * 1e6)
+    return d.select("run_id", F.round("overfit_gap", 6).alias("overfit_gap"), F.round("normalized_speed", 3).alias("normalized_speed"))
+
+
+@query(f"""with {_L}, d as (select run_id, sec - lag(sec) over w as ds, step - lag(step) over w as dn, tokens_seen - lag(tokens_seen) over w as dt, row_number() over w as i from l where sec is not null window w as (partition by run_id order by step, log_id))
+    select run_id, sum(dn)::bigint as steps, round(sum(ds), 3) as seconds, round(sum(dt)::double / sum(ds), 3) as tokens_per_second, round(avg(ds / dn), 6) as mean_step, round(min(ds / dn), 6) as min_step, round(max(ds / dn), 6) as max_step from d where i > 1 and ds > 0 and dn > 0 group by 1""")
+def step_benchmark(spark, sf):
+    d = runs.step_benchmark(log(spark, sf))
+    return d.select("run_id", "steps", F.round("seconds", 3).alias("seconds"), F.round("tokens_per_second", 3).alias("tokens_per_second"), *(F.round(c, 6).alias(c) for c in ("mean_step", "min_step", "max_step")))
+
+
 # Vectors.
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order into which a key is cut.
+#: Least number of ranges of the order into which a key is cut; the session's shuffle partitions where they are more.
 RANGES = 64
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str = "before", ranges: int = RANGES, tie: str | None = None) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str = "before", ranges: int | None = None, tie: str | None = None) -> DataFrame:
     """df with the sum of value over the rows of its key that come before it.
 
     order: a numeric column; tie: a second one where order repeats. A key is cut into ranges of its order by approximate quantiles, sums are
@@ -21,6 +21,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
     one key is cut all the same, and no step gathers it in one task.
     """
     by = keys or ["_one"]
+    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = df.withColumn("_v", value)
     d = d if keys else d.withColumn("_one", F.lit(0))
 

@@ -225,3 +225,31 @@ def best_runs(summary: DataFrame) -> DataFrame:
     ratio = F.col("best_val_loss") / F.nullif("mean_tokens_per_second", F.lit(0.0))
     by = lambda f, c: f("run_id", F.when(c.isNotNull(), F.struct(c.alias("v"), "run_id")))
     return summary.agg(by(F.min_by, F.col("best_val_loss")).alias("best_loss_run"), F.max_by("run_id", F.when(F.col("mean_tokens_per_second").isNotNull(), F.col("mean_tokens_per_second"))).alias("fastest_run"), by(F.min_by, ratio).alias("best_ratio_run"))
+
+
+def experiments(summary: DataFrame) -> DataFrame:
+    """summary with overfit_gap: the best val_loss less the last train loss."""
+    return summary.withColumn("overfit_gap", F.col("best_val_loss") - F.col("last_loss"))
+
+
+def per_hundred_million(summary: DataFrame, parameters: Column) -> DataFrame:
+    """summary with throughput times parameters in hundreds of millions: what the size of the model takes away is put back."""
+    return summary.withColumn("normalized_speed", F.col("mean_tokens_per_second") * parameters / 1e8)
+
+
+def step_benchmark(log: DataFrame, skip: int = 0) -> DataFrame:
+    """(run_id, steps, tokens, seconds, tokens_per_second, mean_step, min_step, max_step) from the gaps between a run's rows, the first `skip` left out.
+
+    A gap is the time since the row before, over the steps since; gaps that are not positive are left out.
+    """
+    w = Window.partitionBy("run_id").orderBy("step", "log_id")
+    d = log.withColumn("_sec", finite("elapsed_sec")).where("_sec is not null and step is not null")
+    d = d.withColumns({"_ds": F.col("_sec") - F.lag("_sec").over(w), "_dn": F.col("step") - F.lag("step").over(w), "_dt": F.col("tokens_seen") - F.lag("tokens_seen").over(w), "_i": F.row_number().over(w)})
+    d = d.where((F.col("_i") > skip + 1) & (F.col("_ds") > 0) & (F.col("_dn") > 0)).withColumn("_step", F.col("_ds") / F.col("_dn"))
+    return d.groupBy("run_id").agg(F.sum("_dn").alias("steps"), F.sum("_dt").alias("tokens"), F.sum("_ds").alias("seconds"), (F.sum("_dt") / F.sum("_ds")).alias("tokens_per_second"), F.avg("_step").alias("mean_step"), F.min("_step").alias("min_step"), F.max("_step").alias("max_step"))
+
+
+def vocabulary_sizes(rows: DataFrame, baseline: int = 32_768, width: int = 640) -> DataFrame:
+    """rows (vocab_size, tokens) with token_increase and parameter_saving (embedding rows x width) against the baseline size."""
+    b = rows.where(F.col("vocab_size") == baseline).limit(1).select(F.col("tokens").alias("_b"))
+    return rows.join(F.broadcast(b), how="left").withColumns({"token_increase": F.round(F.col("tokens") / F.col("_b") - 1, 6), "parameter_saving": (F.lit(baseline) - F.col("vocab_size")) * width}).drop("_b")

@@ -232,3 +232,24 @@ def train_bpe(df: DataFrame, text: str, merges: int, min_frequency: int = 2) ->
 
 #: Words that BPE training looks at.
 MAX_WORDS = 50_000
+
+
+def weighted_windows(shards: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+    """(split, sample, shard_index, first_token, taken): n windows of each split, a shard chosen in proportion to its tokens. size within 16 to 512.
+
+    A draw is a place in the split's stream; its shard is found by a range join on the running totals.
+    """
+    size = min(max(size, 16), 512)
+    d = shard_offsets(shards).withColumn("_n", F.coalesce("tokens", F.lit(0))).where("_n > 0").select(F.col("split").alias("_s"), "shard_index", "before", "_n")
+    total = d.groupBy("_s").agg(F.sum("_n").alias("_t"))
+    draws = total.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    draws = draws.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), F.col("_s"), F.col("sample")), F.col("_t"))).select(F.col("_s").alias("split"), "sample", "_at")
+    j = draws.join(F.broadcast(d), (F.col("split") == F.col("_s")) & (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("_n")))
+    first = F.least(F.col("_at") - F.col("before"), F.greatest(F.col("_n") - size, F.lit(0)))
+    return j.select("split", "sample", "shard_index", first.alias("first_token"), F.least(F.col("_n"), F.lit(size)).cast("bigint").alias("taken"))
+
+
+def round_trips(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
+    """(texts, same): how many texts come back unchanged from encoding and decoding."""
+    e = decode_chars(encode_chars(df.where(F.col(text).isNotNull()), vocab, text), vocab)
+    return e.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("decoded") == F.col(text)).alias("same"))

@@ -149,3 +149,15 @@ def context_repetition(ids: Column, window: int = 128) -> Column:
     """1 - distinct / all of the last `window` ids; 0 for none."""
     last = F.slice(ids, F.greatest(F.size(ids) - window + 1, F.lit(1)), F.lit(window))
     return F.when(F.size(ids) > 0, 1 - F.size(F.array_distinct(last)) / F.size(last)).otherwise(F.lit(0.0))
+
+
+def resolve_targets(query: str, vocab: DataFrame, limit: int = 8) -> DataFrame:
+    """Rows (id, token) that a query names: 'id:7' or '#7' an id, else the characters of the query in order, at most `limit`."""
+    q = query.strip()
+    number = q.removeprefix("id:").removeprefix("#")
+    if q != number and number.isdigit():
+        return vocab.where(F.col("id") == int(number))
+    order = {c: i for i, c in reversed(list(enumerate(q)))}
+    wanted = sorted(order, key=order.get)[: max(1, min(limit, 8))]
+    place = F.create_map(*(x for c in wanted for x in (F.lit(c), F.lit(order[c]))))[F.col("token")] if wanted else F.lit(0)
+    return vocab.where(F.col("token").isin(*wanted)).orderBy(place) if wanted else vocab.limit(0)

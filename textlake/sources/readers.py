@@ -234,3 +234,26 @@ def markdown(df: DataFrame, title: str, rows: int = 1000) -> str:
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(map(cell, r)) + " |" for r in body]) + "\n"
+
+
+def paragraphs(text: Column) -> Column:
+    """The pieces between blank lines; the lines where there is no blank line. Blank pieces are left out."""
+    trim = lambda a: F.filter(F.transform(a, T.strip), lambda x: F.length(x) > 0)
+    blocks = trim(F.split(text, rf"\n{T.WS}*\n"))
+    return F.when(F.size(blocks) > 1, blocks).otherwise(trim(F.split(text, "\n")))
+
+
+def first_available(*candidates: DataFrame | None) -> DataFrame | None:
+    """The first table that has rows: documents, else a corpus, else shards, else a preview."""
+    return next((d for d in candidates if d is not None and d.head(1)), None)
+
+
+def plan_rows(manifest: DataFrame, value: str = "value") -> DataFrame:
+    """(source_name, group, category, rows, max_rows, max_docs, max_chars) of a manifest's sources (VARIANT); rows are the clean ones, else the raw."""
+    s = manifest.select(F.explode(F.try_variant_get(value, "$.sources", "array<variant>")).alias("s"))
+    g = lambda p, t="string": F.try_variant_get("s", f"$.{p}", t)
+    return s.select(
+        F.coalesce(g("source_name"), g("name")).alias("source_name"), g("group").alias("group"), g("category").alias("category"),
+        F.coalesce(g("reported_by_chatlm.clean_rows", "bigint"), g("reported_by_chatlm.raw_rows", "bigint")).alias("rows"),
+        *(g(f"sampling_plan.{c}", "bigint").alias(c) for c in ("max_rows", "max_docs", "max_chars")),
+    )
