@@ -317,3 +317,12 @@ def test_late_additions(spark):
     assert [r.id for r in vectors.resolve_targets("#1", v).collect()] == [1] and [r.id for r in vectors.resolve_targets("cab", v, 2).collect()] == [2, 0]
     s = runs.vocabulary_sizes(spark.createDataFrame([(32768, 100), (8192, 130)], "vocab_size int, tokens bigint")).orderBy("vocab_size").first()
     assert s.token_increase == 0.3 and s.parameter_saving == 24576 * 640
+
+
+def test_frames_of_split_runs_are_exact(spark):
+    rng = random.Random(9)
+    rows = [(j, "hot" if j % 4 else "cold", rng.randint(0, 60), rng.choice([1.0, 2.0, 9.0, float("nan"), None]), rng.choice([100.0, 20.0, None])) for j in range(600)]
+    d = spark.createDataFrame(rows, "log_id bigint, run_id string, step bigint, train_loss double, tokens_per_second double")
+    for f, cols in ((runs.loss_spikes, ("rolling_mean", "rolling_stdev", "is_spike")), (runs.median_spikes, ("baseline", "is_spike")), (runs.throughput_drops, ("recent_median",))):
+        a, b = ({r.log_id: tuple(round(x, 9) if isinstance(x, float) else x for x in (r[c] for c in cols)) for r in f(d, split_rows=n).collect()} for n in (10**9, 1))
+        assert a == b and len(a) > 300

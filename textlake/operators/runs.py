@@ -51,35 +51,61 @@ def history_import(log: DataFrame, source_order: str) -> DataFrame:
     return log.groupBy("step", "tokens_seen").agg(F.max_by(F.struct(*cols), source_order).alias("x")).select("step", "tokens_seen", "x.*")
 
 
+#: A run of at least this many rows is cut into PARTS ranges of its steps, each with the rows its frames reach back to.
+SPLIT_ROWS = 200_000
+PARTS = 64
+
+
+def with_halos(log: DataFrame, rows: int, by: str = "run_id", order: str = "step", tie: str = "log_id", split_rows: int = SPLIT_ROWS, parts: int = PARTS) -> DataFrame:
+    """log cut so that frames of the `rows` rows before can be computed part by part: adds _part, and _halo rows that only serve as those before.
+
+    A hot run is sorted in `parts` tasks instead of one. Each part gets the last `rows` rows of all earlier parts of its run, taken from the tails of
+    the parts, so the frames are exact whatever the sizes of the parts.
+    """
+    borders = log.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts).alias("_b"))
+    borders = borders.select(F.col(by).alias("_by"), F.when(F.col("_n") >= split_rows, F.array_distinct("_b")).otherwise(F.array().cast("array<bigint>")).alias("_b"))
+    d = log.join(F.broadcast(borders), log[by].eqNullSafe(borders["_by"])).withColumn("_part", F.coalesce(F.size(F.filter("_b", lambda x: x < F.col(order))), F.lit(0))).drop("_by", "_b")
+    back = [F.desc(order), F.desc(tie)]
+    tails = d.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*back))).where(F.col("_r") <= rows).drop("_r")
+    later = d.where(F.col("_part") > 0).select(F.col(by).alias("_by"), F.col("_part").alias("_q")).distinct()
+    reach = tails.join(F.broadcast(later), tails[by].eqNullSafe(later["_by"]) & (F.col("_part") < F.col("_q"))).withColumn("_part", F.col("_q")).drop("_by", "_q")
+    halo = reach.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*back))).where(F.col("_r") <= rows).drop("_r")
+    return d.withColumn("_halo", F.lit(False)).unionByName(halo.withColumn("_halo", F.lit(True)))
+
+
 def _frame(rows: int, by: str = "run_id", order: tuple[str, ...] = ("step", "log_id")):
-    return Window.partitionBy(by).orderBy(*order).rowsBetween(-rows, -1)
+    return Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(-rows, -1)
+
+
+def _own(d: DataFrame) -> DataFrame:
+    return d.where("not _halo").drop("_part", "_halo")
 
 
-def loss_spikes(log: DataFrame, window: int = 20, min_delta: float = 0.5, sigma: float = 4.0, ratio: float = 1.15, by: str = "run_id") -> DataFrame:
+def loss_spikes(log: DataFrame, window: int = 20, min_delta: float = 0.5, sigma: float = 4.0, ratio: float = 1.15, by: str = "run_id", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """log's rows of a finite train_loss with rolling_mean, rolling_stdev, threshold and is_spike: above mean + max(min_delta, sigma sd) and above
-    mean x ratio of the `window` rows before, which must all be there."""
-    d = log.withColumn("loss", finite("train_loss")).where("loss is not null")
+    mean x ratio of the `window` rows before, which must all be there. Rows need a step."""
+    d = with_halos(log.withColumn("loss", finite("train_loss")).where("loss is not null"), window, by, split_rows=split_rows)
     w = _frame(window, by)
     d = d.withColumns({"rolling_mean": F.avg("loss").over(w), "rolling_stdev": F.stddev_pop("loss").over(w), "_n": F.count("loss").over(w)})
     d = d.withColumn("threshold", F.col("rolling_mean") + F.greatest(F.lit(min_delta), F.lit(sigma) * F.col("rolling_stdev")))
-    return d.withColumn("is_spike", (F.col("_n") == window) & (F.col("loss") > F.col("threshold")) & (F.col("loss") > F.col("rolling_mean") * ratio)).drop("_n")
+    return _own(d.withColumn("is_spike", (F.col("_n") == window) & (F.col("loss") > F.col("threshold")) & (F.col("loss") > F.col("rolling_mean") * ratio)).drop("_n"))
 
 
-def median_spikes(log: DataFrame, window: int = 20, least: int = 10, factor: float = 1.5) -> DataFrame:
+def median_spikes(log: DataFrame, window: int = 20, least: int = 10, factor: float = 1.5, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """As loss_spikes, against the median of up to `window` rows before, of which at least `least` (5 to 10) must be there."""
     least = max(5, min(least, 10))
-    d = log.withColumn("loss", finite("train_loss")).where("loss is not null")
+    d = with_halos(log.withColumn("loss", finite("train_loss")).where("loss is not null"), window, split_rows=split_rows)
     w = _frame(window)
     d = d.withColumns({"baseline": F.percentile("loss", F.lit(0.5)).over(w), "_n": F.count("loss").over(w)})
-    return d.withColumn("is_spike", (F.col("_n") >= least) & (F.col("baseline") > 0) & (F.col("loss") > F.col("baseline") * factor)).drop("_n")
+    return _own(d.withColumn("is_spike", (F.col("_n") >= least) & (F.col("baseline") > 0) & (F.col("loss") > F.col("baseline") * factor)).drop("_n"))
 
 
-def throughput_drops(log: DataFrame, window: int = 20, ratio: float = 0.55, after_step: int = 1400) -> DataFrame:
+def throughput_drops(log: DataFrame, window: int = 20, ratio: float = 0.55, after_step: int = 1400, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Rows with recent_median of tokens_per_second over the rows before (positive finite ones) and is_drop: below ratio x median past after_step."""
-    d = log.withColumn("speed", finite("tokens_per_second"))
+    d = with_halos(log.withColumn("speed", finite("tokens_per_second")), window, split_rows=split_rows)
     good = F.when(F.col("speed") > 0, F.col("speed"))
     d = d.withColumn("recent_median", F.percentile(good, F.lit(0.5)).over(_frame(window)))
-    return d.withColumn("is_drop", F.coalesce((F.col("step") > after_step) & (F.col("speed") < F.col("recent_median") * ratio), F.lit(False)))
+    return _own(d.withColumn("is_drop", F.coalesce((F.col("step") > after_step) & (F.col("speed") < F.col("recent_median") * ratio), F.lit(False))))
 
 
 def downsample(log: DataFrame, points: int, by: str = "run_id", order: tuple[str, ...] = ("step", "log_id")) -> DataFrame:
