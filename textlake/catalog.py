@@ -106,7 +106,7 @@ def _training(t: str) -> str:
 @query(f"select doc_id, sha1({_training('text')}) as h, length({_training('text')}) as n from documents where text is not null")
 def normalized_training_text(spark, sf):
     t = T.normalize_training(F.col("text"))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(t).alias("h"), F.length(t).alias("n"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(t).alias("h"), F.length(t).cast("bigint").alias("n"))
 
 
 @query()
@@ -117,7 +117,7 @@ def normalized_clean_text(spark, sf):
 
 @query("select doc_id, nfc_normalize(text) = text as composed, length(nfc_normalize(text)) as n from documents where text is not null")
 def composed_text(spark, sf):
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", (T.nfc(F.col("text")) == F.col("text")).alias("composed"), F.length(T.nfc(F.col("text"))).alias("n"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", (T.nfc(F.col("text")) == F.col("text")).alias("composed"), F.length(T.nfc(F.col("text"))).cast("bigint").alias("n"))
 
 
 @query()
@@ -483,7 +483,7 @@ def char_round_trip(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
     v = tokens.char_vocabulary(d)
     e = tokens.decode_chars(tokens.encode_chars(d, v), v)
-    return e.select("doc_id", F.size("ids").alias("n"), (F.col("decoded") == F.col("text")).alias("same"))
+    return e.select("doc_id", F.size("ids").cast("bigint").alias("n"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
 WORDS = r"regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[\x{4e00}-\x{9fff}]')"

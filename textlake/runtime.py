@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_ZIPPED: list[Path] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -41,6 +43,7 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(at))
+    _ZIPPED.append(at.parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 @atexit.register
 def _clean() -> None:
+    for folder in _ZIPPED:
+        shutil.rmtree(folder, ignore_errors=True)
     for spark, at in _WRITTEN:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
