@@ -19,6 +19,8 @@ from textlake.runtime import materialize, table
 
 #: Documents of one packing group, about; a bigger group wastes less in its last containers and takes longer.
 GROUP_ITEMS = 10_000
+#: Tasks over which the groups are spread at most.
+MAX_TASKS = 20_000
 OUT = "container string, container_id bigint, doc_id bigint, part int, first_token bigint, tokens bigint, space_left bigint"
 
 
@@ -112,7 +114,7 @@ def pack_documents(sizes: DataFrame, capacities: DataFrame, group_items: int = G
     groups = max(1, -(-sizes.count() // group_items))
     s = sizes.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"))
     c = capacities.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity")).limit(1000)
-    return s.crossJoin(F.broadcast(c)).repartition(max(1, groups * 4), "container", "grp").groupBy("container", "grp").applyInPandas(pack_group, OUT)
+    return s.crossJoin(F.broadcast(c)).repartition(min(groups * 4, MAX_TASKS), "container", "grp").groupBy("container", "grp").applyInPandas(pack_group, OUT)
 
 
 def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
