@@ -125,8 +125,11 @@ class Facts:
     def share(self, cls: str) -> Column:
         return T.ratio(T.count_chars(self.text, cls), self.length)
 
-    def distinct(self, pattern: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(self.text, F.lit(f"({pattern})"), 1))
+    def matches(self, pattern: str) -> Column:
+        """All matches in order; bind them with T.let where they are read more than once."""
+        words = needed_words(pattern)
+        c = F.regexp_extract_all(self.text, F.lit(f"({pattern})"), 1)
+        return F.when(self.any_word(words), c).otherwise(F.array().cast("array<string>")) if words else c
 
     def times(self, words: list[str]) -> Column:
         """Sum over the words of their occurrences; a word inside another counts for both."""
@@ -201,15 +204,20 @@ def _direct_contact(f: Facts) -> Column:
 
 def _commercial(f: Facts) -> Column:
     plain = f.has("(?d)" + any_of(L.COMMERCIAL)) | f.has(f"(?d){L.ENROLMENT}")
-    business, trades = f.count(any_of(L.BUSINESS)), F.size(f.distinct(any_of(L.BUSINESS)))
-    services = ((business >= 5) & (trades >= 3)) | ((business >= 3) & (trades >= 2) & f.has(L.BUSINESS_CUE))
-    products, kinds = f.count(any_of(L.PRODUCT)), f.distinct(any_of(L.PRODUCT))
-    of = lambda words: F.size(F.array_intersect(kinds, F.array(*map(F.lit, words))))
-    contact = _direct_contact(f) | f.has(L.PURCHASE_CUE)
-    sales = ((products >= 7) & (F.size(kinds) >= 3) & contact & (of(L.PRODUCT_PROMO) >= 2)) | (
-        (products >= 6) & (of(L.PRODUCT_PROMO) >= 2) & (of(L.PRODUCT_SALES) >= 1) & f.has(f"(?d){L.PRODUCT_PAIR}")
-    )
-    return (plain & ~_promo_negated(f)) | services | sales
+
+    def services(m: Column) -> Column:
+        n, trades = F.size(m), F.size(F.array_distinct(m))
+        return ((n >= 5) & (trades >= 3)) | ((n >= 3) & (trades >= 2) & f.has(L.BUSINESS_CUE))
+
+    def sales(m: Column) -> Column:
+        def of(words: list[str]) -> Column:
+            return F.size(F.array_intersect(m, F.array(*map(F.lit, words))))
+
+        contact = _direct_contact(f) | f.has(L.PURCHASE_CUE)
+        strong = (F.size(m) >= 7) & (F.size(F.array_distinct(m)) >= 3) & contact
+        return F.when((F.size(m) >= 6) & (of(L.PRODUCT_PROMO) >= 2), strong | ((of(L.PRODUCT_SALES) >= 1) & f.has(f"(?d){L.PRODUCT_PAIR}"))).otherwise(False)
+
+    return (plain & ~_promo_negated(f)) | T.let(f.matches(any_of(L.BUSINESS)), services) | T.let(f.matches(any_of(L.PRODUCT)), sales)
 
 
 def _download(f: Facts) -> Column:
@@ -218,7 +226,8 @@ def _download(f: Facts) -> Column:
 
 
 def _ad_contact(f: Facts) -> Column:
-    context = (f.has("(?i)" + any_of(L.PROMO_CONTEXT)) & ~_promo_negated(f)) | _commercial(f) | _download(f)
+    # Both are columns of their own (see classify).
+    context = (f.has("(?i)" + any_of(L.PROMO_CONTEXT)) & ~_promo_negated(f)) | F.col("_commercial") | F.col("_download")
     call = f.has(L.PHONE) & f.has("(?i)" + any_of(L.PHONE_CALL))
     contact = f.count("(?i)" + any_of(L.CONTACT))
     weak = (f.count(any_of(L.WEAK_CONTACT)) >= 2) & (f.count(any_of(L.SEO)) >= 2)
@@ -277,9 +286,9 @@ RULES = (
     Rule("mixed_topic_soup", "quarantine", _topic_soup, ("general_web",)),
     Rule("ad_contact_template", "flag", _ad_contact),
     Rule("seo_boilerplate_dense", "quarantine", lambda f: f.count(any_of(L.SEO)) >= 3, ("general_web", "qa", "wiki", "unknown")),
-    Rule("commercial_promo_template", "quarantine", _commercial, ("general_web", "qa", "comment", "unknown")),
+    Rule("commercial_promo_template", "quarantine", lambda f: F.col("_commercial"), ("general_web", "qa", "comment", "unknown")),
     Rule("medical_promo_template", "quarantine", _medical, _WEB),
-    Rule("download_site_template", "quarantine", _download, _WEB),
+    Rule("download_site_template", "quarantine", lambda f: F.col("_download"), _WEB),
     Rule("cracked_software_template", "quarantine", lambda f: f.has(f"(?d){L.CRACKED}") & ~f.has(f"(?d){L.CRACKED_NEGATED}"), ("general_web", "qa", "unknown")),
     Rule("content_farm_footer", "quarantine", lambda f: f.has(any_of(L.FARM_FOOTER)), ("general_web", "wiki", "unknown")),
     Rule("machine_translation_phrase_repetition", "quarantine", _helper_phrases, ("general_web", "qa", "wiki", "unknown")),
@@ -303,9 +312,11 @@ def classify(df: DataFrame, text: str = "text", source_name: str = "source_name"
     d = d.withColumns({"source_kind": source_kind(F.col("_key")), "_length": T.visible_chars(F.col("_text")), "_han": T.count_chars(F.col("_text"), profile.script)})
     d = d.withColumn("_ratio", T.ratio(F.col("_han"), F.col("_length")))
     f = Facts(F.col("_text"), F.col("source_kind"), F.col("_key"), profile)
+    # Two tests that other rules read as well.
+    d = d.withColumns({"_commercial": _commercial(f), "_download": _download(f)})
     hits = F.filter(F.array(*(F.when(r.hits(f), F.struct(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))) for r in rules)), lambda x: x.isNotNull())
     of = lambda s: F.exists("_hits", lambda x: x.severity == s)
-    return d.withColumn("_hits", hits).withColumns({"flags": F.transform("_hits", lambda x: x["name"]), "decision": F.when(of("drop"), "drop").when(of("quarantine"), "quarantine").otherwise("keep")}).drop("_text", "_key", "_hits", "_length", "_han", "_ratio")
+    return d.withColumn("_hits", hits).withColumns({"flags": F.transform("_hits", lambda x: x["name"]), "decision": F.when(of("drop"), "drop").when(of("quarantine"), "quarantine").otherwise("keep")}).drop("_text", "_key", "_hits", "_length", "_han", "_ratio", "_commercial", "_download")
 
 
 # Other predicates.
