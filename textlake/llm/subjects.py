@@ -124,15 +124,11 @@ def vocabulary(sample: DataFrame, min_rows: int = MIN_ROWS) -> dict[str, tuple[s
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma, to about 1e-8: recurrence up to 6, then the asymptotic series."""
-    y = np.array(x, np.float64)
-    out = np.zeros_like(y)
-    for _ in range(6):
-        low = y < 6
-        out[low] -= 1 / y[low]
-        y[low] += 1
+    """Derivative of log gamma for positive numbers, to about 1e-8: the recurrence six times, then the asymptotic series."""
+    x = np.asarray(x, np.float64)
+    y = x + 6
     z = 1 / (y * y)
-    return out + np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252))
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - (1 / (x[..., None] + np.arange(6))).sum(-1)
 
 
 def topic_sums(documents: list[list[int]], topics: np.ndarray, steps: int = STEPS) -> np.ndarray:
