@@ -52,7 +52,7 @@ def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text:
         n = sum(x for _, x, _ in kinds)
         if not n:
             return (n_chars, 0, 0, None, *[None] * len(RANKED))
-        han = len(shapes.HAN.findall(form))
+        han = shapes.count_han(form)
         other = shapes.WORD.findall(form)
         count = han + len(other)
         letters = han + sum(map(len, other))

@@ -14,6 +14,7 @@ SENTENCE, NEUTRAL, CODE, LINK, LIST, ATTR, STUFFED, BARE, BULLET, TABLE, LOG, NU
 KIND_NAMES = ["sentence", "neutral", "code", "link", "list", "attribute", "stuffed", "bare", "bullet", "table", "log", "number", "symbol", "random", "broken"]
 SPAM = frozenset((LINK, LIST, ATTR, STUFFED, BARE, BULLET))
 
+FUNCTION_CHARS = re.compile("[的了在是也不就都而与把被从到这那它很更没让给]")
 FUNCTION_ZH = re.compile("[的了在是也不就都而与把被从到这那它很更没让给]|因为|如果|不过|可以|应当|需要|已经|以后|他们|我们|什么")
 #: Function words of English, French and German.
 FUNCTION_LATIN = frozenset(
@@ -23,7 +24,7 @@ FUNCTION_LATIN = frozenset(
 )
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]，。；、|]+", re.I)
 TAG = re.compile(r"<[^<>]{0,300}>")
-HAN = re.compile("[\u3400-\u9fff\U00020000-\U0002fa1f]")
+HAN = re.compile("[\u3400-\u9fff\U00020000-\U0002fa1f]+")
 WORD = re.compile(r"[^\W\d_\u2e80-\u9fff\uac00-\ud7af]+")
 END = re.compile(r"[。！？!?;；…]|[.](?=\s|$|[\"”»])")
 SEPARATORS = re.compile(r"\s*(?:[,，、;；|/#_>»·•\t＞｜]|\s-\s|\s{2,})\s*")
@@ -34,20 +35,28 @@ CODELINE = re.compile(r"^\s*(?:def |const |let |var |import |class |function |re
 BLOB = re.compile(r"[A-Za-z0-9+/=]{48,}")
 RUN = re.compile(r"(.)\1{11,}")
 MOJIBAKE = re.compile("[\u00c2\u00c3\u00e2-\u00ef][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122\ufffd]")
-BLANK = re.compile(r"\s+")
 DIGIT = re.compile(r"\d")
 SYMBOLS = re.compile(r"[^\w\s]")
 #: A line of at most so many Han characters, or words, and no function word is bare; so many such lines in one text are a list.
 BARE_HAN, BARE_WORDS, BARE_LINES = 18, 10, 4
 
 
+def count_han(text: str) -> int:
+    return sum(map(len, HAN.findall(text)))
+
+
+def visible(text: str) -> int:
+    """Characters without blanks."""
+    return sum(map(len, text.split()))
+
+
 def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
     """(kind, characters without blanks, how many of them stand in a non-sentence) of one line in the consistent form; raw is the line as stored."""
-    n = len(BLANK.sub("", line))
+    n = visible(line)
     if not n:
         return NEUTRAL, 0, 0
-    all_han = len(HAN.findall(line))
-    if all_han >= 12 and all_han * 2 > n and "://" not in line and "www." not in line and len(FUNCTION_ZH.findall(line)) >= 0.06 * all_han and END.search(line):
+    all_han = count_han(line)
+    if all_han >= 12 and all_han * 2 > n and "://" not in line and "www." not in line and END.search(line) and len(FUNCTION_CHARS.findall(line)) >= 0.06 * all_han:
         return SENTENCE, n, 0
     raw = line if raw is None else raw
     if not raw.isascii() and n >= 4:
@@ -64,7 +73,7 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
         rest = TAG.sub(" ", URL.sub(" ", line))
     elif "<a " in line:
         return LINK, n, n
-    han = len(HAN.findall(rest)) if links else all_han
+    han = count_han(rest) if links else all_han
     words = WORD.findall(rest)
     low = [w.lower() for w in words]
     f_zh = len(FUNCTION_ZH.findall(rest)) if han else 0
@@ -74,7 +83,7 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
     ends = len(END.findall(rest))
     prose = (han >= 8 and f_zh >= 0.03 * han) or (len(words) >= 4 and f_la >= 0.12 * len(words) and f_la >= 1)
     if links:
-        kept = len(BLANK.sub("", rest))
+        kept = visible(rest)
         if prose and ends and kept >= 20 and kept > 0.3 * links:
             return SENTENCE, n, min(n, links)
         return LINK, n, n
