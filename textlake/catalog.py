@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 # Pieces of SQL that several checks share.
 
-WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
+WS = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
 COMPACT = rf"regexp_replace(t, '{WS}+', '', 'g')"
 LEN = f"length({COMPACT})"
 

@@ -297,17 +297,20 @@ def too_repetitive(text: Column, top: float = 0.24, chunk: int = 20, share: floa
 def repeated_char_ratio(text: Column) -> Column:
     """Share of neighbouring pairs that are equal; 0 below two characters."""
     n = F.length(text)
-    return F.when(n > 1, count(text, r"(?s)(.)(?=\1)") / (n - 1)).otherwise(F.lit(0.0))
+    pairs = n - F.length(F.regexp_replace(text, r"(?s)(.)(?=\1)", ""))
+    return F.when(n > 1, pairs / (n - 1)).otherwise(F.lit(0.0))
 
 
 def repeated_ngram_ratio(text: Column, n: int = 3) -> Column:
     """1 - distinct / all n-grams of characters; 0 where there is none."""
 
-    def grams(t: Column) -> Column:
-        size = F.length(t) - (n - 1)
-        return F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(t, i, F.lit(n)))
+    def grams(c: Column) -> Column:
+        # Over the array of characters: a substring would count its way from the start of the text each time.
+        size = F.size(c) - (n - 1)
+        return F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
 
-    return let(let(text, grams), lambda g: F.when(F.size(g) > 0, F.lit(1.0) - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)))
+    chars = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+    return let(let(chars, grams), lambda g: F.when(F.size(g) > 0, F.lit(1.0) - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)))
 
 
 # Keys.
