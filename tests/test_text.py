@@ -95,10 +95,10 @@ def test_records(spark):
 
 def test_wiki_and_spacing(spark):
     w = "{|table|}{{模板}}'''加粗'''[[链接|文字]]和[[目标]]\n== 标题 ==\n[[分类:甲]]\n* 短条目\n<ref>r</ref>正文内容"
-    row = spark.createDataFrame([(w, "题名", "我 在 重庆 ， 用 MLX 写 ok go")], "w string, t string, s string").select(T.clean_wiki(F.col("w"), F.col("t")).alias("w"), T.chinese_spacing(F.col("s")).alias("s"), T.repair_utterance(F.lit("额， 我 们 ~ ~ ~ &amp; x")).alias("u")).first()
+    row = spark.createDataFrame([(w, "题名", "他 去 海边 ， 带 GPS 走 ok go")], "w string, t string, s string").select(T.clean_wiki(F.col("w"), F.col("t")).alias("w"), T.chinese_spacing(F.col("s")).alias("s"), T.repair_utterance(F.lit("嗯， 他 们 ~ ~ ~ &amp; x")).alias("u")).first()
     assert row.w.startswith("题名\n") and "加粗文字和目标" in row.w and "标题" in row.w and "短条目" not in row.w and "分类" not in row.w
-    assert row.s == "我在重庆，用MLX写ok go"
-    assert row.u == "额，我们~~~ & x"
+    assert row.s == "他去海边，带GPS走ok go"
+    assert row.u == "嗯，他们~~~ & x"
 
 
 def test_small_functions(spark):
