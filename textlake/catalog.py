@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textlake.functions import text as T
 from textlake.operators import audit, dedup, folds, mixture, rules, runs, tokens, vectors
 from textlake.plans import pipelines
-from textlake.runtime import shared_dir, table
+from textlake.runtime import shared_dir, spread, table
 from textlake.sources import readers
 
 QUERIES: dict = {}
@@ -75,7 +75,7 @@ def adapted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.classify(adapted(spark, sf), profile=rules.MIXED, rules=SQL_RULES)
+    return rules.classify(spread(adapted(spark, sf)), profile=rules.MIXED, rules=SQL_RULES)
 
 
 # Statistics and text.
@@ -239,7 +239,7 @@ def clean_decision_summary(spark, sf):
 @query()
 def rule_decisions(spark, sf):
     """All 27 rules; look-behind, back-references and folds are beyond the check's SQL. Tests hold them against golden cases."""
-    return rules.classify(adapted(spark, sf), profile=rules.MIXED).select("row_id", "source_kind", F.array_join("flags", ",").alias("flags"), "decision")
+    return rules.classify(spread(adapted(spark, sf)), profile=rules.MIXED).select("row_id", "source_kind", F.array_join("flags", ",").alias("flags"), "decision")
 
 
 @query()

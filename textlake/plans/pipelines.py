@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.operators import audit, dedup, mixture, rules, runs, tokens, vectors
-from textlake.runtime import materialize
+from textlake.runtime import materialize, spread
 
 
 def clean(docs: DataFrame, order: str, text: str = "text", source_name: str = "source_name", source_type: str = "source_type", profile: rules.Profile = rules.ZH) -> DataFrame:
     """docs with normalised text, source_kind, flags, decision and is_duplicate (of kept texts, by compact key, first in order wins)."""
     # Some five hundred expressions of the rules read the normalised text, so it is a table of its own.
-    d = rules.classify(materialize(docs.withColumn(text, T.normalize_clean(F.col(text)))), text, source_name, source_type, profile)
+    d = rules.classify(materialize(spread(docs).withColumn(text, T.normalize_clean(F.col(text)))), text, source_name, source_type, profile)
     d = materialize(d)
     # Only kept rows compete: the others get keys of their own.
     key = F.when(F.col("decision") == "keep", T.compact_key(F.col(text))).otherwise(F.concat(F.lit("#"), F.col(order).cast("string")))

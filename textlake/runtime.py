@@ -59,6 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    A scan of many files passes unchanged; only one of fewer pieces than cores is dealt out anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
 
