@@ -203,6 +203,16 @@ def test_merge_precedence(spark):
     assert sorted((r.step or -1, r.log_id) for r in runs.merge_logs(own, up).collect()) == [(-1, 13), (1, 11), (2, 12), (3, 3), (4, 5)]
 
 
+def test_merged_log_of_a_long_chain(spark, tmp_path):
+    """Run r18 has the rows of the 16 runs before it, not of r01; at a step of two ancestors the first eval of the earlier run stands."""
+    from textlake import catalog
+
+    rows = [(f"r{k:02d}", k, k, "eval") for k in range(1, 19)] + [("r02", 100, 20, "eval"), ("r17", 100, 21, "eval")]
+    spark.createDataFrame(rows, "run_id string, step bigint, log_id bigint, status_source string").write.parquet(str(tmp_path / "training_log.parquet"))
+    got = {(r.run_id, r.step): r.log_id for r in catalog.merged_log(spark, str(tmp_path)).collect()}
+    assert {step: i for (run, step), i in got.items() if run == "r18"} == {k: k for k in range(2, 19)} | {100: 20}
+
+
 def test_alerts(spark):
     s = spark.createDataFrame([("a", "running", 10, 10, 5.0, 5.0, 25, 0, 0, None, None, 1.0, None, 0.1), ("b", "odd", 10, 10, 1000.0, None, 25, 2, 2, 1, None, float("nan"), float("inf"), None)], "run_id string, state string, step long, local_step long, status_age double, heartbeat_age double, heartbeat_interval int, eval_interval int, checkpoint_interval int, last_eval_step int, checkpoint_step int, train_loss double, val_loss double, learning_rate double")
     a = runs.alerts(s)

@@ -627,11 +627,11 @@ def latest_log(spark, sf):
 
 @query()
 def merged_log(spark, sf):
-    """Logs of a run with those of the runs it came from; the parent of a run is the run before it by name."""
+    """Logs of a run with those of the up to 16 runs it came from; the parent of a run is the run before it by name."""
     d = log(spark, sf).where("run_id is not null")
     names = d.select("run_id").distinct()
     parent = names.select("run_id", F.lag("run_id").over(Window.orderBy("run_id")).alias("parent_id"))
-    up = runs.lineage(parent, 2)
+    up = runs.lineage(parent, 16)
     a = d.join(F.broadcast(up.select(F.col("run_id").alias("_child"), F.col("ancestor").alias("run_id"), "depth")), "run_id").drop("run_id").withColumnRenamed("_child", "run_id")
     return runs.merge_logs(d, a).select("run_id", "step", "log_id", "status_source")
 
