@@ -180,6 +180,21 @@ def test_tokens(spark, rows):
     assert sorted(r["rank"] for r in tokens.epoch_order(d, "i", 1, 2).collect()) == list(range(400))
 
 
+def test_bpe_learns_from_every_word(spark):
+    """55,000 words that share one pair: all of them count, in the order of merges too."""
+    letters = "abcdefghijklmnoprs"
+    rare = ["qz" + a + b + c + d for a in letters for b in letters for c in letters for d in letters][:55_000]
+    t = spark.createDataFrame([(" ".join(rare[i : i + 500]),) for i in range(0, len(rare), 500)] * 2 + [("xy " * 105_000,), (None,)], "text string")
+    m = tokens.train_bpe(t, "text", 2).collect()
+    assert [(r.rank, r.left, r.right, r.n) for r in m] == [(0, "q", "z", 110_000), (1, "x", "y", 105_000)]
+
+
+def test_bpe_merges_from_left_to_right(spark):
+    t = spark.createDataFrame([("aaaa aaaa aaaaa aaaaa",)], "text string")
+    assert [(r.left, r.right, r.n) for r in tokens.train_bpe(t, "text", 9).collect()] == [("a", "a", 14), ("aa", "aa", 4), ("aaaa", "a", 2)]
+    assert tokens.train_bpe(t.limit(0), "text", 9).count() == 0
+
+
 def test_runs(spark):
     log = [(j, "r", j, float(j), "eval" if j % 3 else "heartbeat") for j in range(101)]
     d = spark.createDataFrame([(a, b, c, x, s, 1000.0, None) for a, b, c, x, s in log], "log_id bigint, run_id string, step bigint, train_loss double, status_source string, tokens_per_second double, val_loss double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.operators.mixture import running_total
+from textlake.runtime import materialize
 
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
 
@@ -198,40 +199,31 @@ def compression(df: DataFrame, text: str, n_tokens: str) -> DataFrame:
 def train_bpe(df: DataFrame, text: str, merges: int, min_frequency: int = 2) -> DataFrame:
     """(rank, left, right, n): byte-free pair merges learned from word counts.
 
-    Spark counts the distinct words of the corpus once; merges are learned on the driver from at most MAX_WORDS commonest words, the bound of the
-    one table that leaves the cluster.
+    The counts of the distinct words stay a distributed table. Each round sums the pairs of all words in Spark; only the best pair comes to the driver.
     """
-    rows = df.select(F.explode(words(F.lower(F.col(text)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), F.asc("w")).limit(MAX_WORDS).collect()
-    vocab = {tuple(r.w): r.n for r in rows}
+    d = df.select(F.explode(words(F.lower(F.col(text)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_frequency) & (F.length("w") > 1))
+    # Parts lie between marks that no word holds, so that a merge is one replacement, from left to right and without overlaps.
+    d = materialize(d.select(F.regexp_replace("w", "(.)", f"{OPEN}$1{CLOSE}").alias("w"), "n"))
     out = []
     for rank in range(merges):
-        pairs: dict[tuple[str, str], int] = {}
-        for w, n in vocab.items():
-            for p in zip(w, w[1:]):
-                pairs[p] = pairs.get(p, 0) + n
-        if not pairs:
+        parts = F.split(F.substring("w", F.lit(2), F.length("w") - 2), CLOSE + OPEN)
+        pairs = d.select("n", parts.alias("p")).select("n", F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("left"), F.slice("p", F.lit(2), F.size("p") - 1).alias("right"))).alias("x"))
+        best = pairs.groupBy("x.left", "x.right").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").first()
+        if best is None or best.n < min_frequency:
             break
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < min_frequency:
-            break
-        out.append((rank, best[0], best[1], pairs[best]))
-        joined = {}
-        for w, n in vocab.items():
-            parts, i = [], 0
-            while i < len(w):
-                if i + 1 < len(w) and (w[i], w[i + 1]) == best:
-                    parts.append(w[i] + w[i + 1])
-                    i += 2
-                else:
-                    parts.append(w[i])
-                    i += 1
-            joined[tuple(parts)] = n
-        vocab = joined
+        out.append((rank, best.left, best.right, best.n))
+        joined = F.replace("w", F.lit(f"{OPEN}{best.left}{CLOSE}{OPEN}{best.right}{CLOSE}"), F.lit(f"{OPEN}{best.left}{best.right}{CLOSE}"))
+        # Words of one part have no pairs left.
+        d = d.select(joined.alias("w"), "n").where(F.instr("w", CLOSE + OPEN) > 0)
+        if rank % CUT_ROUNDS == CUT_ROUNDS - 1 and rank + 1 < merges:
+            d = materialize(d)
     return df.sparkSession.createDataFrame(out, "rank int, left string, right string, n bigint")
 
 
-#: Words that BPE training looks at.
-MAX_WORDS = 50_000
+#: Marks around the parts of a word in BPE training.
+OPEN, CLOSE = "\x01", "\x02"
+#: Rounds of BPE training after which the words as merged so far are written anew.
+CUT_ROUNDS = 10
 
 
 def weighted_windows(shards: DataFrame, n: int, size: int, seed: int) -> DataFrame:
