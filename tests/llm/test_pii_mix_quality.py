@@ -96,6 +96,18 @@ def test_document_stats(spark):
     assert quality.document_stats(df.limit(0), common).count() == 0
 
 
+def test_copies_have_one_vote(spark):
+    """A junk page that holds a third of a language, one of a language of few documents, and one of a corpus too small for ranks are found."""
+    common = spark.createDataFrame([("en", "the"), ("zh", "的")], "lang string, word string")
+    schema = "doc_id bigint, text string, lang string"
+    nouns = ("cat", "engine", "harbour", "village", "mountain", "piano", "letter")
+    prose = [(i, f"The {nouns[i % 7]} of the {nouns[i % 5]} was in the house for {i} days. " * (1 + i % 4) + "It had been the best one.", "en") for i in range(200)]
+    junk = "\n".join(f"| {i} | {i * 37 % 101} | ## | {i * i} |" for i in range(30))
+    rows = prose + [(1000 + i, junk, "en") for i in range(100)] + [(2000 + i, junk + f"\n| {i} | 7 | # |", "fr") for i in range(2)]
+    assert {r.doc_id for r in quality.not_prose(quality.scores(spark.createDataFrame(rows, schema), common)).collect()} == {*range(1000, 1100), 2000, 2001}
+    assert {r.doc_id for r in quality.not_prose(quality.scores(spark.createDataFrame([rows[0], rows[-1], (5, None, "en"), (6, " ", "fr")], schema), common)).collect()} == {2001}
+
+
 def test_quality_found(spark, data):
     s = quality.scored(spark, data)
     assert s.count() == spark.read.parquet(f"{data}/documents.parquet").count() and quality.p10_found(spark, data).count() > 0

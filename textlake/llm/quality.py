@@ -2,7 +2,8 @@
 
 The statistics of a document come from one pass over its text. Their ranks are exact and per language: the distinct values of each statistic are
 counted, put in order by ranges (language and statistic, then value), summed inside each range, and shifted by the offsets of the ranges before.
-From the ranks come the two tail probabilities of each value; the outlier score of a document is the mean of -log of the smaller tail over its
+Copies of a text have one vote together, so that a page repeated often does not become what is usual; its score goes to every copy. A language of few
+texts is ranked among the texts of all languages. From the ranks come the two tail probabilities of each value; the outlier score of a document is the mean of -log of the smaller tail over its
 statistics. Statistics that are ranked are kept to three decimals on [0, 1], so their ECDF has at most 1001 rows per language and statistic
 and may be broadcast.
 """
@@ -21,6 +22,10 @@ from textlake.runtime import materialize, table
 RANKED = ("symbol_share", "digit_share", "punct_line_share", "common_word_share", "word_length_score", "line_length_score", "char_variety", "list_share")
 #: Values of a ranked statistic are cut into so many ranges.
 RANGES = 16
+#: A language of fewer distinct texts than this is ranked among those of all languages; where even they are fewer, no document is ranked.
+LEAST_TEXTS = 100
+#: Stands for all languages together in the ranks.
+EVERY = "*"
 #: A document whose outlier score is at least this is looked at closely. A score of log 2 means every statistic at its median; half of all prose lies near 1.
 MIN_SCORE = 1.2
 #: Share of the characters outside sentences beyond which a document is no running prose.
@@ -29,8 +34,8 @@ LANGS = ("zh", "en", "fr", "de")
 SCHEMA = "doc_id bigint, lang string, n_chars bigint, n_lines bigint, word_count bigint, mean_word_length double, " + ", ".join(f"{c} double" for c in RANKED)
 
 
-def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document with SCHEMA's columns. A word is a Han character or a run of letters of another script.
+def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", with_hash: bool = False) -> DataFrame:
+    """One row per document with SCHEMA's columns; with_hash adds text_hash, 128 bits. A word is a Han character or a run of letters of another script.
 
     Null and blank texts have zero counts and null statistics; an unknown or null language becomes 'und', whose common words are those of
     all languages. common holds (lang, word), at most a few hundred rows, and travels with the function. Null keys are left out.
@@ -41,6 +46,8 @@ def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text:
         words.setdefault(r.lang, set()).add(r.word.lower())
     words["und"] = set().union(*words.values())
     src = df.select(F.col(key).cast("bigint").alias("doc_id"), F.when(F.col(lang).isin(*LANGS), F.col(lang)).otherwise("und").alias("lang"), F.col(text).cast("string").alias("t")).where("doc_id is not null")
+    if with_hash:
+        src = src.withColumn("text_hash", F.unhex(F.md5(F.col("t").cast("binary"))))
 
     def stats(t: str | None, lg: str):
         n_chars = len(t or "")
@@ -76,9 +83,16 @@ def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text:
             rows = [stats(t, lg) for lg, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols = list(zip(*rows)) if rows else [[]] * (4 + len(RANKED))
             kinds = [pa.int64()] * 3 + [pa.float64()] * (1 + len(RANKED))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "lang", "n_chars", "n_lines", "word_count", "mean_word_length", *RANKED])
+            more = [b.column(3)] if with_hash else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds)), *more], ["doc_id", "lang", "n_chars", "n_lines", "word_count", "mean_word_length", *RANKED, *["text_hash"][: len(more)]])
 
-    return src.mapInArrow(run, SCHEMA)
+    return src.mapInArrow(run, SCHEMA + ", text_hash binary" * with_hash)
+
+
+def votes(stats: DataFrame) -> DataFrame:
+    """One row of statistics for each distinct text of a language, and once more under EVERY. stats has text_hash."""
+    one = stats.where("mean_word_length is not null").select("lang", "text_hash", "word_count", "mean_word_length", *RANKED).dropDuplicates(["lang", "text_hash"])
+    return one.withColumn("lang", F.explode(F.array("lang", F.lit(EVERY))))
 
 
 def ecdf(stats: DataFrame) -> DataFrame:
@@ -99,23 +113,29 @@ def ecdf(stats: DataFrame) -> DataFrame:
 def outlier_scores(stats: DataFrame, ranks: DataFrame) -> DataFrame:
     """stats with outlier_score: mean over the ranked statistics of -log(min(P(X <= x), P(X >= x))), null for blank documents.
 
-    The ECDF goes to every task as one map per language: at most 1001 x len(RANKED) entries each.
+    A language with fewer than LEAST_TEXTS in the ranks takes those of EVERY where ranks have them, and null where they too are fewer. The ECDF goes to every task as one map per language: at most 1001 x len(RANKED) entries each.
     """
     tail = -F.log(F.least(F.col("upto"), F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
-    maps = ranks.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("=", "stat", F.format_string("%.3f", "value")), tail))).alias("tails"))
+    maps = ranks.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("=", "stat", F.format_string("%.3f", "value")), tail))).alias("tails"), F.max("total").alias("total"))
+    every = maps.where(F.col("lang") == EVERY).select(F.when(F.col("total") >= LEAST_TEXTS, F.col("tails")).alias("_tails"), F.lit(True).alias("_every"))
+    maps = maps.where(F.col("lang") != EVERY).join(F.broadcast(every), how="left").select("lang", F.when((F.col("total") < LEAST_TEXTS) & F.col("_every"), F.col("_tails")).otherwise(F.col("tails")).alias("tails"))
     parts = [F.col("tails")[F.concat(F.lit(c + "="), F.format_string("%.3f", F.col(c)))] for c in RANKED]
     score = sum(parts[1:], parts[0]) / len(RANKED)
     return stats.join(F.broadcast(maps), "lang", "left").withColumn("outlier_score", F.when(F.col("mean_word_length").isNotNull(), score)).drop("tails")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = materialize(document_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word")))
-    return outlier_scores(stats, materialize(ecdf(stats)))
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+
+
+def scores(df: DataFrame, common: DataFrame) -> DataFrame:
+    stats = materialize(document_stats(df, common, with_hash=True))
+    return outlier_scores(stats.drop("text_hash"), materialize(ecdf(votes(stats))))
 
 
 def not_prose(scores: DataFrame, min_score: float = MIN_SCORE, list_share: float = LIST_SHARE) -> DataFrame:
-    """Outliers of which more than list_share of the characters stand outside sentences."""
-    return scores.where((F.col("outlier_score") >= min_score) & (F.col("list_share") > list_share))
+    """Outliers of which more than list_share of the characters stand outside sentences; that alone decides for documents that could not be ranked."""
+    return scores.where((F.col("outlier_score").isNull() | (F.col("outlier_score") >= min_score)) & (F.col("list_share") > list_share))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
