@@ -97,6 +97,17 @@ def test_line_kinds(line, kind):
     assert shapes.KIND_NAMES[shapes.line_kind(line)[0]] == kind
 
 
+@pytest.mark.parametrize(
+    "line, kind",
+    [
+        ("wholesale手机壳 " * 20, "stuffed"), ("手机壳的批发,手机壳的价格,手机壳的厂家," * 4 + "手机壳的报价。", "stuffed"), ("我的表格在这里。\t他们的名字是什么\t我们的价格在这里。", "table"),
+        ("我们的表格在这里<a href=x>,他们的名字也在这里。", "link"), ("我们的网站在这里,他们的名字也在这里。\ue000\ue001\ue002", "broken"), ("我们的网站在这里,他们的名字也在这里。", "sentence"),
+    ],
+)
+def test_sentence_marks_hide_no_other_shape(line, kind):
+    assert shapes.KIND_NAMES[shapes.line_kind(line)[0]] == kind
+
+
 def test_spam_pages(spark):
     words = ";".join(f"床垫{x}" for x in ("型号", "推荐", "定制", "价格", "厂家", "报价", "直销", "安装"))
     prose = "说到底,新型烤箱能去掉腥味,霞水的做法并不有用。"

@@ -35,6 +35,8 @@ CODELINE = re.compile(r"^\s*(?:def |const |let |var |import |class |function |re
 BLOB = re.compile(r"[A-Za-z0-9+/=]{48,}")
 RUN = re.compile(r"(.)\1{11,}")
 MOJIBAKE = re.compile("[\u00c2\u00c3\u00e2-\u00ef][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122\ufffd]")
+#: What marks of a wrong decoding begin with.
+ODD = re.compile("[\u0080-\u009f\u00c2\u00c3\u00e2-\u00ef\ue000-\uf8ff\ufffd]")
 DIGIT = re.compile(r"\d")
 SYMBOLS = re.compile(r"[^\w\s]")
 #: A line of at most so many Han characters, or words, and no function word is bare; so many such lines in one text are a list.
@@ -50,19 +52,53 @@ def visible(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+def is_broken(raw: str, n: int) -> bool:
+    """Marks of a wrong decoding are over 5 % of n characters, and at least three."""
+    if raw.isascii() or n < 4 or not ODD.search(raw):
+        return False
+    broken = 2 * len(MOJIBAKE.findall(raw)) + raw.count("\ufffd") + sum(0xE000 <= ord(c) <= 0xF8FF or 0x80 <= ord(c) < 0xA0 for c in raw if c > "\x7f" and not "\u3000" <= c <= "\u9fff")
+    return broken > 0.05 * n and broken >= 3
+
+
+def is_stuffed(text: str, han: int) -> bool:
+    """The commonest pair of neighbouring Han characters covers over 16 % of the Han characters and stands at least five times."""
+    # Both characters of such a pair are themselves that common, so most texts are decided without counting pairs.
+    least = max(5, 0.08 * han)
+    counts = Counter(text)
+    if max(counts.values()) < least:
+        return False
+    often = [c for c, k in counts.items() if k >= least and HAN.match(c)]
+    if not often or len(often) == 1 and often[0] * 2 not in text:
+        return False
+    pairs = Counter(p for run in HAN.findall(text) for p in zip(run, run[1:]))
+    top = max(pairs.values(), default=0)
+    return 2 * top > 0.16 * han and top >= 5
+
+
+def plain_sentence(line: str, raw: str, n: int, han: int) -> bool:
+    """Enough to know that line_kind ends in SENTENCE: none of its other tests can succeed."""
+    if not (han >= 12 and han * 2 > n and "://" not in line and "www." not in line and "<a " not in line and END.search(line)):
+        return False
+    f = len(FUNCTION_CHARS.findall(line))
+    # There are at most as many segments as other characters and one; fewer than 16 others make fewer than 16 words.
+    if f < 0.06 * han or f <= (1 + len(line) - han) // 6 or han < 40 and n - han >= 16:
+        return False
+    if line.count("|") >= 2 or line.count("\t") >= 2 or BULLETED.match(line) or n >= 16 and len(set(line)) < 0.25 * n:
+        return False
+    return not is_broken(raw, n) and not (han >= 40 and is_stuffed(line, han))
+
+
 def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
     """(kind, characters without blanks, how many of them stand in a non-sentence) of one line in the consistent form; raw is the line as stored."""
     n = visible(line)
     if not n:
         return NEUTRAL, 0, 0
     all_han = count_han(line)
-    if all_han >= 12 and all_han * 2 > n and "://" not in line and "www." not in line and END.search(line) and len(FUNCTION_CHARS.findall(line)) >= 0.06 * all_han:
-        return SENTENCE, n, 0
     raw = line if raw is None else raw
-    if not raw.isascii() and n >= 4:
-        broken = 2 * len(MOJIBAKE.findall(raw)) + raw.count("\ufffd") + sum(0xE000 <= ord(c) <= 0xF8FF or 0x80 <= ord(c) < 0xA0 for c in raw if c > "\x7f" and not "\u3000" <= c <= "\u9fff")
-        if broken > 0.05 * n and broken >= 3:
-            return BROKEN, n, n
+    if plain_sentence(line, raw, n, all_han):
+        return SENTENCE, n, 0
+    if is_broken(raw, n):
+        return BROKEN, n, n
     if all_han * 4 < n and CODELINE.search(line):
         return CODE, n, 0
     links = 0
@@ -104,9 +140,7 @@ def line_kind(line: str, raw: str | None = None) -> tuple[int, int, int]:
         if digits + symbols > 0.55 * n and not (prose and f_zh + f_la >= 2 and letters > 0.3 * n):
             return (NUMBER if digits > symbols else SYMBOL), n, n
     if han >= 40:
-        pairs = Counter(zip(rest, rest[1:]))
-        top = next((c for (a, b), c in pairs.most_common(8) if "\u3400" <= a <= "\u9fff" and "\u3400" <= b <= "\u9fff"), 0)
-        if 2 * top > 0.16 * han and top >= 5:
+        if is_stuffed(rest, han):
             return STUFFED, n, n
     elif len(words) >= 16 and len(words) * 4 > han:
         top, times = next(iter(Counter(w for w in low if len(w) > 2 and w not in FUNCTION_LATIN).most_common(1)), ("", 0))
