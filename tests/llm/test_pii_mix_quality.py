@@ -26,6 +26,61 @@ def test_finds(spark, text, finds):
     assert [(k, text[a:b]) for a, b, k in f(text)] == finds
 
 
+def examples(pattern, rng):
+    """A random string for a pattern; its look-arounds ahead are written out, those behind are left to the caller."""
+    from re import _constants as c
+    from re import _parser
+
+    def one(items):
+        return "".join(part(op, v) for op, v in items)
+
+    def chosen(op, v):
+        if op is c.RANGE:
+            return chr(rng.choice((v[0], v[1], rng.randint(*v))))
+        return rng.choice("0123456789") if op is c.CATEGORY and v is c.CATEGORY_DIGIT else " " if op is c.CATEGORY else chr(v)
+
+    def part(op, v):
+        if op is c.LITERAL:
+            return chr(v)
+        if op is c.IN:
+            return "x" if v[0][0] is c.NEGATE else chosen(*rng.choice(v))
+        if op is c.BRANCH:
+            return one(rng.choice(v[1]))
+        if op is c.SUBPATTERN:
+            return one(v[-1])
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            low, high = v[0], min(v[1], v[0] + 3)
+            return "".join(one(v[2]) for _ in range(rng.choice((low, low, rng.randint(low, high)))))
+        return one(v[1]) if op is c.ASSERT and v[0] > 0 else ""
+
+    return one(_parser.parse(pattern.pattern, pattern.flags & ~32))
+
+
+def test_hints_are_in_every_match():
+    import random
+
+    rng = random.Random(1)
+    for rule in pii.RULES:
+        seen = 0
+        for _ in range(3000):
+            t = rng.choice(("", ",", " ", ". ")) + examples(rule.pattern, rng) + rng.choice(("", ",", " "))
+            if rule.pattern.search(t):
+                seen += 1
+                assert pii.HINTS[rule.hint].search(t), (rule.pattern.pattern, t)
+        assert seen > 50, rule.pattern.pattern
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Name: John Smith", "John Smith"), ('John Smith said "no" and left', "John Smith"), ("John Smith told Mary", "John Smith"), ("王小明,手机在桌上", "王小明"), ("王小明,住址不详", "王小明"), ("王小明,家住城南", "王小明"), ("请找前台的王小明联系", "王小明"),
+        ("李华把书借给朋友", "李华"), ("证件号码 AB123456。", "AB123456"), ("电话 +1 2 3", "+1 2 3"),
+    ],
+)
+def test_hints_hide_no_find(text, found):
+    assert [text[a:b] for a, b, _ in pii.find(text)] == [found]
+
+
 def test_checks():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod_97("GB82WEST12345698765432") and not pii.mod_97("GB82WEST12345698765431")
     assert pii.iso_mod_11_2("11010519491231002X") and not pii.iso_mod_11_2("110105194912310021")

@@ -134,15 +134,15 @@ RULES = (
     Rule("name", re.compile(r"(?:[.!?:\"”] |^)(?P<x>[A-Z][a-zà-ÿ]+(?: [A-Z]\.)? [A-Z][a-zà-ÿ]+)(?= of (?:Flat|Unit|Apt|\d)| (?:said|recalled|remembered|wrote|told) |, (?:ID|number|phone|born|aged) )", re.M), 0.8, hint="latin name"),
 )
 
-#: Cheap searches; a rule runs only on texts in which its hint is found.
+#: Cheap searches; a rule runs only on texts in which its hint is found. A hint is a part that every match of its rules has, in each alternative.
 HINTS = {
-    "digits": re.compile(r"\d(?:[ \-.()]{0,2}[\dA-Za-z]){6}"),
+    "digits": re.compile(r"\+\d|\d{6}|\d(?:[ \-.()]{0,2}[\dA-Za-z]){6}"),
     "mail": re.compile(r"@|[\[(<{] ?at ?[\])>}]", re.I),
     "numerals": re.compile(r"一[三-九三四五六七八九][一二三四五六七八九零〇]{9}"),
     "house": re.compile(r"\d号"),
     "street": re.compile(r"\d[A-Za-z]? [A-Z][a-z]"),
-    "name": re.compile(rf"姓名|系人|件人|申请人|负责人|经办人|我叫|名叫|署名|据[{H}]{{2,4}}(?:回忆|介绍|透露|称|讲述|描述)|就行|即可|处领|把[{H}]{{1,4}}[停放忘落借]在|身份证|电话|证件|现住|转告|留言|\(\(?[+\d一]"),
-    "latin name": re.compile(r"name|ontact|pplicant|ask for|igned| of (?:Flat|Unit|Apt|\d)| (?:said|recalled|remembered|wrote|told) [a-z]|, (?:ID|number|phone|born|aged) "),
+    "name": re.compile(rf"姓名|系人|件人|申请人|负责人|经办人|我叫|名叫|署名|据[{H}]{{2,4}}(?:回忆|介绍|透露|称|讲述|描述)|的[{H}]{{2,4}}(?:就行|即可|联系|处领)|把[{H}]{{1,4}}[停放忘落借]|,(?:身份证|电话|手机|证件|现住|住址|家住)|\(\(?[+\d一]|托[{H}]{{2,14}}转告|在[{H}]{{2,8}}的留言"),
+    "latin name": re.compile(r"(?:y name is|ontact|pplicant|ask for|ame:|igned by|igned,) [A-Z]| of (?:Flat|Unit|Apt|\d)| (?:said|recalled|remembered|wrote|told) |, (?:ID|number|phone|born|aged) "),
 }
 _TRIM = ("收货地址", "联系地址", "地址", "住址", "现住", "我家住", "家住", "居住", "请寄到", "寄到", "送到", "寄往", "位于", "搬到", *"住址到寄往于在是为")
 
