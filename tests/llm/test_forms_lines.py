@@ -37,7 +37,7 @@ def test_lookalike_pairs_against_brute_force(spark, data):
     p = forms.prototypes(spark)
     groups = collections.defaultdict(list)
     for i, t in rows:
-        if s := forms.skeleton(t, p):
+        if (s := forms.skeleton(t, p)) and not s.isspace():
             groups[s].append((i, t))
     want = {(a, b) for g in groups.values() for a, x in g for b, y in g if a < b and x != y}
     got = [tuple(r) for r in forms.p5_found(spark, data).collect()]
@@ -48,11 +48,25 @@ def test_classes_with_nulls_empties_ties_and_clashing_names(spark):
     d = spark.createDataFrame([(1, "abc", "s"), (2, "ａbc", "s"), (3, "abc", None), (4, "", "s"), (5, None, "s"), (None, "abc", "s"), (6, "​", "s")], SCHEMA).selectExpr("*", "'x' as form_hash", "'y' as k", "1 as t")
     got = {r.row_id: (r.class_id, r.n_texts) for r in forms.lookalike_classes(d).collect()}
     assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2)}
+    assert {r.row_id: r.links for r in forms.lookalike_classes(d).collect()} == {1: 1, 2: 2, 3: 1}
     assert forms.lookalike_classes(d.limit(0)).count() == 0
     out = {r.row_id: r.form for r in forms.normalise_forms(d).where("row_id is not null").collect()}
     assert out[2] == "abc" and out[5] is None and out[6] == ""
 
 
+def test_blank_texts_have_no_look(spark):
+    d = spark.createDataFrame([(1, " ", "s"), (2, "\u3000", "s"), (3, "\n", "s"), (4, "\u00a0\t", "s"), (5, "a b", "s"), (6, "a\u3000b", "s")], SCHEMA)
+    assert [tuple(r) for r in forms.lookalike_pairs(d).collect()] == [(5, 6)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_pairs_of_hot_texts_in_blocks(spark, block):
+    d = spark.createDataFrame([(i, "ａb" if i % 3 == 0 else "ab" if i % 3 == 1 else "аb" if i % 2 else f"z{i}", "s") for i in range(40)], SCHEMA)
+    rows = [(r.row_id, r.text) for r in d.collect() if r.text[0] != "z"]
+    got = [tuple(r) for r in forms.lookalike_pairs(d, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, x in rows for b, y in rows if a < b and x != y}
+
+
 def brute_lines(rows, threshold):
     key = lambda s: re.sub(r"[\s\d]", "", unicodedata.normalize("NFKC", s))
     where = collections.defaultdict(set)

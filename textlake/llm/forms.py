@@ -23,6 +23,8 @@ from textlake.runtime import materialize, table
 #: Compatibility decompositions that only change width, font or breaking; the rest is left to the confusables data.
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<small>")
 VISIBLE_TAGS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
+#: Rows of one text that meet the rows of another in one task, about.
+BLOCK_ROWS = 10_000
 
 
 def _ignorable(c: str) -> bool:
@@ -125,7 +127,10 @@ def normalise_forms(df: DataFrame, text: str = "text", out: str = "form") -> Dat
 
 
 def form_keys(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(key, form_hash, text_hash) of every row with a non-empty form: 128-bit hashes, so texts are never shuffled."""
+    """(key, form_hash, text_hash) of every row whose form holds a visible character: 128-bit hashes, so texts are never shuffled.
+
+    Null, empty and blank texts, and those of invisible characters only, have no look and so no row.
+    """
     proto = prototypes(df.sparkSession)
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t <> ''")
     kind = src.schema["k"].dataType.simpleString()
@@ -134,7 +139,7 @@ def form_keys(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFra
         for b in batches:
             ids, forms, raws = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if s := skeleton(t, proto):
+                if (s := skeleton(t, proto)) and not s.isspace():
                     ids.append(k)
                     forms.append(digest(s))
                     raws.append(digest(t))
@@ -143,23 +148,55 @@ def form_keys(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFra
     return src.mapInArrow(run, f"k {kind}, form_hash binary, text_hash binary").withColumnRenamed("k", key)
 
 
+def lookalike_texts(keys: DataFrame, key: str = "row_id") -> DataFrame:
+    """(form_hash, text_hash, class_id, n_texts, copies): the distinct texts of the forms that have more than one, with the smallest key of the form.
+
+    Copies are counted before the shuffle, so a text that a third of all rows share is one row here.
+    """
+    texts = keys.groupBy("form_hash", "text_hash").agg(F.min(key).alias("lo"), F.count(F.lit(1)).alias("copies"))
+    forms = texts.groupBy("form_hash").agg(F.min("lo").alias("class_id"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
+    return texts.join(forms, "form_hash").select("form_hash", "text_hash", "class_id", "n_texts", "copies")
+
+
 def lookalike_classes(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """One row per row that has a look-alike: (key, class_id, n_texts), class_id the smallest key of the rows of one form.
+    """One row per row that has a look-alike: (key, class_id, n_texts, links), class_id the smallest key of the rows of one form, links the number
+    of rows that look the same and are unequal as stored. This is the form of the result for corpora in which pairs of rows are too many.
 
-    Copies of one text do not make a class. Null and empty texts have none; repeated keys are treated as rows of their own. The groups are found
-    by partial aggregation on the hash, so a form that a third of all rows share is combined before the shuffle.
+    Copies of one text do not make a class. Null, empty and blank texts have none; repeated keys are treated as rows of their own.
     """
     keys = materialize(form_keys(df, key, text))
-    groups = keys.groupBy("form_hash", "text_hash").agg(F.min(key).alias("lo")).groupBy("form_hash").agg(F.min("lo").alias("class_id"), F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
-    return keys.join(groups, "form_hash").select(key, "class_id", "n_texts", "form_hash", "text_hash")
+    texts = materialize(lookalike_texts(keys, key))
+    rows = texts.groupBy("form_hash").agg(F.sum("copies").alias("rows"))
+    return keys.join(texts, ["form_hash", "text_hash"]).join(rows, "form_hash").select(key, "class_id", "n_texts", (F.col("rows") - F.col("copies")).alias("links"))
+
+
+def lookalike_pairs(df: DataFrame, key: str = "row_id", text: str = "text", block: int = BLOCK_ROWS) -> DataFrame:
+    """(key_a, key_b), key_a < key_b, of all rows that look the same and are unequal as stored.
+
+    Distinct texts of a form are paired first, copies never meet each other. The members of a text are dealt to blocks of about `block` rows by a
+    hash, and each pair of blocks of two paired texts is a cell of its own: a text with a third of all rows becomes many cells of bounded size, and
+    a row moves once for each cell, of which each gives pairs of it.
+    """
+    keys = materialize(form_keys(df, key, text))
+    texts = lookalike_texts(keys, key).select("form_hash", "text_hash", F.ceil(F.col("copies") / block).cast("int").alias("blocks"))
+    texts = materialize(texts)
+    a = texts.select("form_hash", F.col("text_hash").alias("ta"), F.col("blocks").alias("na"))
+    b = texts.select("form_hash", F.col("text_hash").alias("tb"), F.col("blocks").alias("nb"))
+    cells = a.join(b, "form_hash").where("ta < tb").withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = keys.join(texts, ["form_hash", "text_hash"]).select(F.col(key).alias("k"), "text_hash", F.pmod(F.xxhash64(F.col(key)), F.col("blocks")).cast("int").alias("block"))
+    left = cells.join(rows, (cells.ta == rows.text_hash) & (cells.ba == rows.block)).select("ta", "tb", "ba", "bb", F.col("k").alias("x"))
+    right = cells.join(rows, (cells.tb == rows.text_hash) & (cells.bb == rows.block)).select("ta", "tb", "ba", "bb", F.col("k").alias("y"))
+    return left.join(right, ["ta", "tb", "ba", "bb"]).where("x <> y").select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rows that look the same and are unequal as stored. Only members of a look-alike class reach the join, which AQE splits where skewed."""
-    c = materialize(lookalike_classes(table(spark, sf_dir, "adapted_document")))
-    a = c.select(F.col("row_id").alias("row_id_a"), "form_hash", F.col("text_hash").alias("ta"))
-    b = c.select(F.col("row_id").alias("row_id_b"), "form_hash", F.col("text_hash").alias("tb"))
-    return a.join(b, "form_hash").where("row_id_a < row_id_b and ta <> tb").select("row_id_a", "row_id_b")
+    """Pairs of rows that look the same and are unequal as stored. A row_id that is stored twice gives its pairs once."""
+    return lookalike_pairs(table(spark, sf_dir, "adapted_document")).distinct()
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that has a look-alike with its class and number of links."""
+    return lookalike_classes(table(spark, sf_dir, "adapted_document"))
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +204,4 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_forms(table(spark, sf_dir, "adapted_document").select("row_id", "text")).select("row_id", "form")
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms}
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p5_forms": p5_forms}
