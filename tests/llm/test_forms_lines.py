@@ -127,11 +127,63 @@ def test_spam_pages(spark):
     prose = "说到底,新型烤箱能去掉腥味,霞水的做法并不有用。"
     df = spark.createDataFrame([(1, words, "a"), (2, prose * 3 + "\n" + words, "a"), (3, None, "a"), (4, "", None), (5, prose + "\nhttps://x.example/a/b", "b")], SCHEMA)
     rows = sitelines.profile_lines(df, with_shapes=True)
-    none = spark.createDataFrame([], "row_id bigint, line_no int, chars int, spam int")
+    none = spark.createDataFrame([], "row_id bigint, line_no int, chars int, spam int, shape bigint")
     assert {r.row_id for r in spam.spam_pages(rows, none).where("is_spam").collect()} == {1}
     assert spam.shape_report(df.limit(0)).count() == 0
 
 
+def test_a_page_of_many_shapes_is_no_group(spark):
+    """Removing the grouping changes the rows: the page's spam lines hold nearly all characters, but in more shapes than may dominate a page."""
+    words = ("床垫型号", "雨棚推荐", "烘干机定制", "货架价格", "水泵厂家", "电缆报价", "印章直销", "板材安装")
+    lines = [";".join(words), "|".join(words) + " |", "https://x.example/a/b", "尺码:叉车95 尺码:水泵96 材质:板材68 风格:电缆48 适用:印章44", "- 床垫型号", "- 雨棚推荐", "- 货架价格", "- 电缆报价", "床垫 cheap;雨棚 Sale;货架 top;水泵 buy;电缆 now;印章 x", "wholesale手机壳 " * 4]
+    df = spark.createDataFrame([(1, "\n".join(lines), "a"), (2, "\n".join(lines[:1] * 9), "a")], SCHEMA)
+    rows = sitelines.profile_lines(df, with_shapes=True)
+    none = spark.createDataFrame([], "row_id bigint, line_no int, chars int, spam int, shape bigint")
+    flagged = lambda few: {r.row_id for r in spam.spam_pages(rows, none, few=few).where("is_spam").collect()}
+    assert flagged(100) == {1, 2} and flagged(1) == {2}
+
+
+def test_site_lines_are_taken_from_their_group(spark):
+    words = ";".join(f"床垫{x}" for x in ("型号", "推荐", "定制", "价格", "厂家", "报价", "直销", "安装"))
+    df = spark.createDataFrame([(i, words + "\n说到底,新型烤箱能去掉腥味,霞水的做法并不有用。" * (i % 2), "a") for i in range(4)], SCHEMA)
+    rows = sitelines.profile_lines(df, with_shapes=True)
+    site = sitelines.SiteLines(spark, 3)
+    assert spam.spam_pages(rows, site.ingest(rows)).where("is_spam").count() == 0
+
+
+def test_shapes_come_back_from_their_codes():
+    for line in ("", "说到底,新型烤箱能去掉腥味。", "Cheap Red Shoes | Blue Bags | Watches", "651 18 177 111 6010 59792", "https://a.example/p/1 货架价格"):
+        shape = shapes.measure(line)[0]
+        assert shapes.shape_of(shapes.shape_code(shape)) == shape
+    assert shapes.measure("Cheap Red Shoes")[0].capitals == 2 and shapes.measure("cheap red Shoes")[0].capitals == 1
+
+
+def test_site_lines_go_on_in_a_later_session(spark, tmp_path):
+    rows = sitelines.profile_lines(spark.createDataFrame([(i, f"head {i}\nbody{i}x{'abcdefghijkl'[i]}", "a") for i in range(12)], SCHEMA))
+    at = f"file://{tmp_path}/state"
+    first = sitelines.SiteLines(spark, 10, at).ingest(rows.where("row_id < 8"))
+    again = sitelines.SiteLines(spark, 10, at)
+    assert first.count() == 0 and again.deltas == 1
+    assert {(r.row_id, r.line_no) for r in again.ingest(rows.where("row_id >= 8")).collect()} == {(i, 0) for i in range(12)}
+    assert sitelines.SiteLines(spark, 10, at).repeated().count() == 1
+
+
+def test_places_by_broadcast_and_by_shuffle(spark):
+    rows = sitelines.profile_lines(spark.createDataFrame([(i, f"head {i}\nx{i % 3}y{'abc'[i % 3]}", "a") for i in range(30)], SCHEMA))
+    keys = sitelines.count_lines(rows).where("n_rows >= 10")
+    one, two = (sorted((r.row_id, r.line_no) for r in sitelines.places(rows, keys, n).collect()) for n in (100, 0))
+    assert one == two and len(one) == 60
+
+
+def test_strip_repeated_is_strip_lines(spark):
+    df = spark.createDataFrame([(i, f"Head {i}\r\nbody {'abcdefghijkl'[i]}\n\nＨead {i}", "a") for i in range(12)] + [(20, "Head 1", None), (21, None, "a"), (22, "", "a"), (23, "Head 1", "b")], SCHEMA)
+    site = sitelines.SiteLines(spark, 10)
+    found = site.ingest(sitelines.profile_lines(df))
+    one, two = ({r.row_id: r.text for r in d.collect()} for d in (sitelines.strip_lines(df, found), sitelines.strip_repeated(df, site.repeated())))
+    assert one == two and one[0] == "body a\n" and one[20] == "Head 1"
+    assert sitelines.strip_repeated(df, site.repeated(), broadcast_keys=0) is None
+
+
 def test_queries_run(spark, data):
     for q in (spam.p1_found, spam.p1_shapes, forms.p5_forms, sitelines.p7_found, sitelines.p7_stripped):
         assert q(spark, data).count() > 0

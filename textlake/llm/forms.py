@@ -8,11 +8,11 @@ Some replacements of that data are left out, because here they are visible diffe
 syllables of East Asian scripts against each other.
 """
 
-from __future__ import annotations
-
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +100,7 @@ def prototypes(spark: SparkSession) -> dict[int, str | None]:
 def skeleton(text: str, table: dict[int, str | None]) -> str:
     """The form. Blanks keep their number; a line end is a line feed whatever it was written as."""
     if text.isascii():
-        return text.replace("\r", "").replace("\t", " ") if "\r" in text or "\t" in text else text
+        return text.translate(table) if any(c in text for c in "\r\t\x0b\x0c") else text
     t = unicodedata.normalize("NFD", text).translate(table)
     return t if t.isascii() else unicodedata.normalize("NFD", t)
 
@@ -111,17 +111,114 @@ def composed(text: str, table: dict[int, str | None]) -> str:
     return s if s.isascii() else unicodedata.normalize("NFC", s)
 
 
+#: Marks in the tables of single(): the character goes away; what becomes of it depends on its neighbours or is more than one character.
+GONE, OPEN = 0xFFFFFFFE, 0xFFFFFFFF
+#: Code points that are looked up at once.
+CHUNK_CHARS = 1_000_000
+
+
+@lru_cache(1)
+def entangled() -> frozenset[int]:
+    """Characters that may join or change places with a neighbour in a normal form: marks, second parts of composed characters, and Hangul parts."""
+    out = set(range(0x1100, 0x1200))
+    for o in range(0x80, 0x32000):
+        c = chr(o)
+        d = unicodedata.decomposition(c)
+        if unicodedata.combining(c):
+            out.add(o)
+        elif d and d[0] != "<":
+            parts = [int(x, 16) for x in d.split()]
+            out.update(parts[1:])
+            out.update(ord(x) for x in unicodedata.normalize("NFD", c)[1:])
+    return frozenset(out)
+
+
+def single(table: dict[int, str | None], whole) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, what each becomes): only those that whole() changes or that need their neighbours. whole is skeleton or composed."""
+    loose = entangled()
+    codes = set(table) | loose | {o for o in range(0x80, 0x32000) if (d := unicodedata.decomposition(chr(o))) and d[0] != "<"} | set(range(0xAC00, 0xD7A4))
+    at, to = [], []
+    for o in sorted(codes):
+        if 0xD800 <= o < 0xE000:
+            continue
+        r = whole(chr(o), table)
+        if o in loose or len(r) > 1 or r and ord(r) in loose:
+            v = OPEN
+        else:
+            v = ord(r) if r else GONE
+        if v != o:
+            at.append(o)
+            to.append(v)
+    return np.array(at, np.uint32), np.array(to, np.uint32)
+
+
+class Former:
+    """skeleton() or composed() of many texts at once: one array look-up for all characters that become one or none whatever stands beside them;
+    texts with any other character take the function itself."""
+
+    def __init__(self, table: dict[int, str | None], singles: tuple[np.ndarray, np.ndarray], whole):
+        self.table, self.whole = table, whole
+        self.to = np.arange(0x110000, dtype=np.uint32)
+        self.to[singles[0]] = singles[1]
+
+    def some(self, texts: list[str]) -> list[str]:
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        new = self.to[points]
+        slow = np.flatnonzero(new == OPEN)
+        keep = new != GONE
+        after = np.concatenate([[0], np.cumsum(keep)])
+        new[slow] = 63
+        form = new[keep].tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = after[np.concatenate([[0], ends])].tolist()
+        out = [form[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.unique(np.searchsorted(ends, slow, "right")).tolist():
+            out[i] = self.whole(texts[i], self.table)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[str | None]:
+        out: list[str | None] = [None] * len(texts)
+        part: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if t is None:
+                continue
+            part.append(i)
+            size += len(t)
+            if size >= CHUNK_CHARS:
+                for j, f in zip(part, self.some([texts[j] for j in part])):
+                    out[j] = f
+                part, size = [], 0
+        for j, f in zip(part, self.some([texts[j] for j in part]) if part else ()):
+            out[j] = f
+        return out
+
+
+@lru_cache(maxsize=4)
+def _singles(spark: SparkSession, whole) -> tuple[np.ndarray, np.ndarray]:
+    return single(prototypes(spark), whole)
+
+
+def former(spark: SparkSession, whole=None):
+    """A function without arguments that makes the Former of skeleton or composed on a worker; what it carries is a few hundred kilobytes."""
+    whole = whole or composed
+    table, singles = prototypes(spark), _singles(spark, whole)
+    return lambda: Former(table, singles, whole)
+
+
 def digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
 def normalise_forms(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
     """df with the form of its text in one more column; null stays null. A column named like out is replaced."""
-    proto = prototypes(df.sparkSession)
+    make = former(df.sparkSession)
 
     @F.arrow_udf("string")
-    def form(x: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else composed(t, proto) for t in x.to_pylist()], pa.string())
+    def form(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forms = make()
+        for a in x:
+            yield pa.array(forms(a.to_pylist()), pa.string())
 
     return df.withColumn(out, form(F.col(text)))
 
@@ -131,15 +228,17 @@ def form_keys(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFra
 
     Null, empty and blank texts, and those of invisible characters only, have no look and so no row.
     """
-    proto = prototypes(df.sparkSession)
+    make = former(df.sparkSession, skeleton)
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t <> ''")
     kind = src.schema["k"].dataType.simpleString()
 
     def run(batches):
+        skeletons = make()
         for b in batches:
             ids, forms, raws = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if (s := skeleton(t, proto)) and not s.isspace():
+            texts = b.column(1).to_pylist()
+            for k, t, s in zip(b.column(0).to_pylist(), texts, skeletons(texts)):
+                if s and not s.isspace():
                     ids.append(k)
                     forms.append(digest(s))
                     raws.append(digest(t))
