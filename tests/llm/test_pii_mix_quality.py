@@ -128,15 +128,25 @@ def test_mix_against_a_plain_version(spark):
     assert mixing.mix(rec.limit(0), targets).count() == 0
 
 
-def test_ranks_are_exact(spark):
-    rows = [(i, "zh", 10, 1, 5, 1.0, *([round((i * 7 % 13) / 13, 3)] * len(quality.RANKED))) for i in range(200)] + [(999, "en", 0, 0, 0, None, *([None] * len(quality.RANKED)))]
-    stats = spark.createDataFrame(rows, quality.SCHEMA)
-    values = sorted(r[6] for r in rows if r[1] == "zh")
-    for r in quality.ecdf(stats).where("stat = 'digit_share'").collect():
-        assert r.upto == sum(v <= r.value for v in values) and r.n == values.count(r.value) and r.total == 200
-    got = {r.doc_id: r.outlier_score for r in quality.outlier_scores(stats, quality.ecdf(stats)).collect()}
-    v = rows[5][6]
-    assert got[5] == pytest.approx(-math.log(min(sum(x <= v for x in values), sum(x >= v for x in values)) / 200)) and got[999] is None
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_ranks_are_exact(spark, ranges):
+    """Against plain counting, with values that are shared by a third of the rows, ties over many ranges, nulls and a group of one row."""
+    rows = [("zh", i % 3, None if i % 50 == 0 else 0.0 if i % 3 == 0 else round((i * 7 % 131) / 13, 1), i) for i in range(900)] + [("en", 0, 2.0, 5000)]
+    got = {(r.grp, r.stat, r.id): (r.value, r.lower, r.ties, r.total) for r in quality.exact_ranks(spark.createDataFrame(rows, "grp string, stat int, value double, id bigint"), ranges).collect()}
+    want = {}
+    for g, s, v, i in rows:
+        if v is not None:
+            same = [x[2] for x in rows if x[:2] == (g, s) and x[2] is not None]
+            want[g, s, i] = (v, sum(x < v for x in same), same.count(v), len(same))
+    assert got == want
+
+
+def test_scores_are_tails_of_the_ranks(spark):
+    rows = [(i, "zh", bytes([i]), 10, 1, 5, 1.0, i / 200, 0.0, 1.0, 0.5, 9.0, 3.0) for i in range(200)] + [(999, "en", b"x", 0, 0, 0, *[None] * 7)]
+    got = {bytes(r.text_hash)[0]: r for r in quality.outlier_scores(spark.createDataFrame(rows, quality.SCHEMA), others=("n_lines",)).collect()}
+    assert len(got) == 200 and got[199].tails["symbol_share"] == pytest.approx(-math.log(1 / 200)) and got[0].tails["symbol_share"] == pytest.approx(0) and got[7].tails["n_lines"] == 0
+    # All other statistics are tied: their tails are whole.
+    assert got[199].outlier_score == pytest.approx(math.log(200) / 2)
 
 
 def test_document_stats(spark):
@@ -146,25 +156,60 @@ def test_document_stats(spark):
     got = {r.doc_id: r for r in quality.document_stats(df, common).collect()}
     assert got[1].word_count == 5 and got[1].common_word_share == 0.4 and got[1].punct_line_share == 1.0 and got[1].mean_word_length == 3.0
     assert got[2].n_chars == 0 and got[2].symbol_share is None and got[3].word_count == 0
-    assert got[4].word_count == 7 and got[4].common_word_share == pytest.approx(0.286) and got[4].punct_line_share == 0.5
+    assert got[4].word_count == 7 and got[4].common_word_share == pytest.approx(2 / 7) and got[4].punct_line_share == 0.5
     assert got[5].lang == "und" and got[5].common_word_share == 1.0 and None not in got
     assert quality.document_stats(df.limit(0), common).count() == 0
 
 
+JUNK = "\n".join(f"| {i} | {i * 37 % 101} | ## | {i * i} |" for i in range(30))
+NOUNS = ("cat", "engine", "harbour", "village", "mountain", "piano", "letter")
+
+
+def prose(n):
+    return [(i, f"The {NOUNS[i % 7]} of the {NOUNS[(i + 1 + i % 5) % 7]} was in the house for {i} days. " * (1 + i % 4) + "It had been the best one.", "en") for i in range(n)]
+
+
+DOCS = "doc_id bigint, text string, lang string"
+
+
 def test_copies_have_one_vote(spark):
     """A junk page that holds a third of a language, one of a language of few documents, and one of a corpus too small for ranks are found."""
     common = spark.createDataFrame([("en", "the"), ("zh", "的")], "lang string, word string")
-    schema = "doc_id bigint, text string, lang string"
-    nouns = ("cat", "engine", "harbour", "village", "mountain", "piano", "letter")
-    prose = [(i, f"The {nouns[i % 7]} of the {nouns[i % 5]} was in the house for {i} days. " * (1 + i % 4) + "It had been the best one.", "en") for i in range(200)]
-    junk = "\n".join(f"| {i} | {i * 37 % 101} | ## | {i * i} |" for i in range(30))
-    rows = prose + [(1000 + i, junk, "en") for i in range(100)] + [(2000 + i, junk + f"\n| {i} | 7 | # |", "fr") for i in range(2)]
-    assert {r.doc_id for r in quality.not_prose(quality.scores(spark.createDataFrame(rows, schema), common)).collect()} == {*range(1000, 1100), 2000, 2001}
-    assert {r.doc_id for r in quality.not_prose(quality.scores(spark.createDataFrame([rows[0], rows[-1], (5, None, "en"), (6, " ", "fr")], schema), common)).collect()} == {2001}
+    rows = prose(200) + [(1000 + i, JUNK, "en") for i in range(100)] + [(2000 + i, JUNK + f"\n| {i} | 7 | # |", "fr") for i in range(2)]
+    found = lambda x: {r.doc_id for r in quality.not_prose(spark.createDataFrame(x, DOCS), common).collect()}
+    assert found(rows) == {*range(1000, 1100), 2000, 2001}
+    assert found([rows[0], rows[-1], (5, None, "en"), (6, " ", "fr")]) == {2001}
+
+
+def test_near_copies_that_hold_a_third_of_a_language(spark):
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    rows = prose(200) + [(1000 + i, JUNK.replace("37", str(i)), "en") for i in range(100)]
+    assert {r.doc_id for r in quality.not_prose(spark.createDataFrame(rows, DOCS), common).collect()} == set(range(1000, 1100))
+
+
+def test_the_score_selects(spark):
+    """Without a high score nothing is looked at, whatever its lines are."""
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    docs = spark.createDataFrame(prose(200) + [(1000 + i, JUNK.replace("37", str(i)), "en") for i in range(100)], DOCS)
+    at = {s: {r.doc_id for r in quality.not_prose(docs, common, min_score=s).collect()} for s in (0.0, quality.MIN_SCORE, 4.0)}
+    assert at[4.0] < at[quality.MIN_SCORE] == at[0.0] == set(range(1000, 1100))
+    scores = quality.outlier_scores(quality.document_stats(docs, common))
+    assert scores.where(f"outlier_score < {quality.MIN_SCORE}").count() > 30
+
+
+@pytest.mark.parametrize("text", ["어제 저녁에 작은 마을의 오래된 다리를 건넜습니다.", "На окраине города снова открыли старую мельницу, и жители были рады.", "وصل القطار إلى المحطة متأخرا وكان الجو باردا جدا", "ฝนตกที่ตลาดเก่าเมื่อวานนี้ และทุกคนก็กลับบ้านช้า"])
+def test_sentences_of_other_scripts_are_prose(spark, text):
+    assert quality.list_share(quality.former(spark)()([text])[0], text) == 0
+
+
+def test_too_many_common_words_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_COMMON", 2)
+    with pytest.raises(ValueError):
+        quality.common_words(spark.createDataFrame([("en", w) for w in "abc"], "lang string, word string"))
 
 
 def test_quality_found(spark, data):
-    s = quality.scored(spark, data)
+    s = quality.p10_stats(spark, data)
     assert s.count() == spark.read.parquet(f"{data}/documents.parquet").count() and quality.p10_found(spark, data).count() > 0
 
 

@@ -1,150 +1,232 @@
 """Problem 10: per-document statistics, outlier scores from exact ranks, and the documents that are no running prose.
 
-The statistics of a document come from one pass over its text. Their ranks are exact and per language: the distinct values of each statistic are
-counted, put in order by ranges (language and statistic, then value), summed inside each range, and shifted by the offsets of the ranges before.
-Copies of a text have one vote together, so that a page repeated often does not become what is usual; its score goes to every copy. A language of few
-texts is ranked among the texts of all languages. From the ranks come the two tail probabilities of each value; the outlier score of a document is the mean of -log of the smaller tail over its
-statistics. Statistics that are ranked are kept to three decimals on [0, 1], so their ECDF has at most 1001 rows per language and statistic
-and may be broadcast.
+The statistics of a document come from one pass over its text, unrounded. Their ranks are exact and per language: all values of all statistics are
+sorted once by range partitions of (language, statistic, value), ranked inside each partition, and shifted by the counts of the partitions before it;
+equal values that lie in several partitions are put together by the few values at the partitions' edges. Copies of a text have one vote together, so
+that a page repeated often does not become what is usual; its score goes to every copy. A language of few texts is ranked among the texts of all
+languages.
+From the ranks comes the empirical tail probability of each value, on the side that speaks against prose (or on both); the outlier score of a document
+is the mean of -log of its two smallest tails. Documents of a high score are looked at closely: the shapes of their lines decide (see shapes).
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlake.llm import shapes
-from textlake.llm.forms import composed, prototypes
+from textlake.llm.forms import former
 from textlake.runtime import materialize, table
 
-#: Ranked statistics, all on [0, 1]: shares, and mean lengths x as x / (x + 10).
-RANKED = ("symbol_share", "digit_share", "punct_line_share", "common_word_share", "word_length_score", "line_length_score", "char_variety", "list_share")
-#: Values of a ranked statistic are cut into so many ranges.
-RANGES = 16
+#: Ranked statistics and the side of their distribution that speaks against running prose; 'both' doubles the smaller tail.
+SIDES = {
+    "symbol_share": "high", "digit_share": "high", "punct_line_share": "low", "common_word_share": "low", "mean_line_length": "low", "mean_word_length": "both", "char_variety": "both",
+    "n_lines": "high", "word_count": "both", "n_chars": "both",
+}
+#: Those that make the score; the length of a text says little about its kind.
+SCORED = tuple(SIDES)[:7]
+#: So many of the smallest tails make the score.
+TAILS = 2
 #: A language of fewer distinct texts than this is ranked among those of all languages; where even they are fewer, no document is ranked.
 LEAST_TEXTS = 100
 #: Stands for all languages together in the ranks.
 EVERY = "*"
-#: A document whose outlier score is at least this is looked at closely. A score of log 2 means every statistic at its median; half of all prose lies near 1.
-MIN_SCORE = 1.2
+#: A document whose outlier score is at least this is looked at closely: the score of texts that are alike and make up a third of their language.
+MIN_SCORE = math.log(3) - 0.01
 #: Share of the characters outside sentences beyond which a document is no running prose.
 LIST_SHARE = 0.5
+#: More common words than this are no list of common words.
+MAX_COMMON = 100_000
 LANGS = ("zh", "en", "fr", "de")
-SCHEMA = "doc_id bigint, lang string, n_chars bigint, n_lines bigint, word_count bigint, mean_word_length double, " + ", ".join(f"{c} double" for c in RANKED)
-
+SENTENCE_MARKS = "。！？!?.;…”\"」』)"
+NUMBERS = ("mean_word_length", "symbol_share", "digit_share", "punct_line_share", "common_word_share", "mean_line_length", "char_variety")
+SCHEMA = "doc_id bigint, lang string, text_hash binary, n_chars bigint, n_lines bigint, word_count bigint, " + ", ".join(f"{c} double" for c in NUMBERS)
 
-def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", with_hash: bool = False) -> DataFrame:
-    """One row per document with SCHEMA's columns; with_hash adds text_hash, 128 bits. A word is a Han character or a run of letters of another script.
 
-    Null and blank texts have zero counts and null statistics; an unknown or null language becomes 'und', whose common words are those of
-    all languages. common holds (lang, word), at most a few hundred rows, and travels with the function. Null keys are left out.
-    """
-    proto = prototypes(df.sparkSession)
+def common_words(common: DataFrame) -> dict[str, set[str]]:
+    """Words by language; 'und' has those of all. common holds (lang, word); more than MAX_COMMON rows are an error."""
+    rows = common.where("lang is not null and word is not null").limit(MAX_COMMON + 1).collect()
+    if len(rows) > MAX_COMMON:
+        raise ValueError(f"more than {MAX_COMMON} common words")
     words: dict[str, set[str]] = {}
-    for r in common.where("lang is not null and word is not null").limit(100_000).collect():
+    for r in rows:
         words.setdefault(r.lang, set()).add(r.word.lower())
     words["und"] = set().union(*words.values())
-    src = df.select(F.col(key).cast("bigint").alias("doc_id"), F.when(F.col(lang).isin(*LANGS), F.col(lang)).otherwise("und").alias("lang"), F.col(text).cast("string").alias("t")).where("doc_id is not null")
-    if with_hash:
-        src = src.withColumn("text_hash", F.unhex(F.md5(F.col("t").cast("binary"))))
-
-    def stats(t: str | None, lg: str):
-        n_chars = len(t or "")
-        if not t or not t.strip():
-            return (n_chars, 0, 0, None, *[None] * len(RANKED))
-        form = composed(t, proto)
-        lines, raw = form.split("\n"), t.split("\n")
-        kinds = shapes.page([shapes.line_kind(a, b) for a, b in zip(lines, raw)])
-        n = sum(x for _, x, _ in kinds)
-        if not n:
-            return (n_chars, 0, 0, None, *[None] * len(RANKED))
-        han = shapes.count_han(form)
-        other = shapes.WORD.findall(form)
-        count = han + len(other)
-        letters = han + sum(map(len, other))
-        digits = len(shapes.DIGIT.findall(form))
-        full = [line.rstrip() for line, (_, x, _) in zip(lines, kinds) if x]
-        vocabulary = words.get(lg, words["und"])
-        known = sum(w.lower() in vocabulary for w in other)
-        if han:
-            known += sum(len(w) * form.count(w) for w in vocabulary if "㐀" <= w[0] <= "鿿")
-        mean = letters / count if count else 0.0
-        line = n / len(full)
-        share = lambda x, y: round(min(1.0, x / y), 3) if y else 0.0
-        return (
-            n_chars, len(full), count, round(mean, 4),
-            share(max(0, n - letters - digits), n), share(digits, n), share(sum(s[-1] in "。！？!?.;…”\"」』)" for s in full), len(full)), share(known, count),
-            round(mean / (mean + 10), 3), round(line / (line + 10), 3), share(len(set(form)), 12 * n**0.5), share(sum(x for _, _, x in kinds), n),
-        )
-
-    def run(batches):
-        for b in batches:
-            rows = [stats(t, lg) for lg, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            cols = list(zip(*rows)) if rows else [[]] * (4 + len(RANKED))
-            kinds = [pa.int64()] * 3 + [pa.float64()] * (1 + len(RANKED))
-            more = [b.column(3)] if with_hash else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds)), *more], ["doc_id", "lang", "n_chars", "n_lines", "word_count", "mean_word_length", *RANKED, *["text_hash"][: len(more)]])
-
-    return src.mapInArrow(run, SCHEMA + ", text_hash binary" * with_hash)
-
-
-def votes(stats: DataFrame) -> DataFrame:
-    """One row of statistics for each distinct text of a language, and once more under EVERY. stats has text_hash."""
-    one = stats.where("mean_word_length is not null").select("lang", "text_hash", "word_count", "mean_word_length", *RANKED).dropDuplicates(["lang", "text_hash"])
-    return one.withColumn("lang", F.explode(F.array("lang", F.lit(EVERY))))
+    return words
 
 
-def ecdf(stats: DataFrame) -> DataFrame:
-    """(lang, stat, value, n, upto, total): exact counts of the values up to and including each one, per language and statistic.
+def statistics(form: str, vocabulary: set[str]) -> tuple:
+    """(n_lines, word_count, *NUMBERS) of a text in the consistent form; counts of 0 and nulls for one without a visible character.
 
-    Distinct values are pre-aggregated, so a value that a third of all documents share is one row. Each range of values is summed alone and then
-    shifted by the sums of the ranges before it.
+    A word is a Han character or a run of letters of another script; char_variety is the number of different characters by the root of all.
     """
-    long = stats.where("word_count is not null and mean_word_length is not null").select("lang", F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(c).alias("value")) for c in RANKED))).alias("x")).select("lang", "x.stat", "x.value")
-    values = long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.least(F.floor(F.col("value") * RANGES), F.lit(RANGES - 1)))
-    sums = values.groupBy("lang", "stat", "part").agg(F.sum("n").alias("s"))
-    by = Window.partitionBy("lang", "stat")
-    offsets = sums.select("lang", "stat", "part", F.coalesce(F.sum("s").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(by).alias("total"))
-    local = F.sum("n").over(Window.partitionBy("lang", "stat", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return values.withColumn("local", local).join(F.broadcast(offsets), ["lang", "stat", "part"]).select("lang", "stat", "value", "n", (F.col("before") + F.col("local")).alias("upto"), "total")
-
+    n = shapes.visible(form)
+    if not n:
+        return (0, 0, *[None] * len(NUMBERS))
+    han = shapes.count_han(form)
+    other = shapes.WORD.findall(form)
+    count = han + len(other)
+    letters = han + sum(map(len, other))
+    digits = len(shapes.DIGIT.findall(form))
+    full = [x for x in map(str.rstrip, form.split("\n")) if x]
+    known = sum(w.lower() in vocabulary for w in other)
+    if han:
+        known += sum(len(w) * form.count(w) for w in vocabulary if "㐀" <= w[0] <= "鿿")
+    share = lambda x, y: x / y if y else 0.0
+    return (
+        len(full), count, share(letters, count), share(max(0, n - letters - digits), n), share(digits, n), share(sum(x[-1] in SENTENCE_MARKS for x in full), len(full)),
+        share(known, count), n / len(full), len(set(form)) / math.sqrt(n),
+    )
+
+
+def list_share(form: str, raw: str) -> float | None:
+    """Share of the visible characters that stand outside sentences, by the shapes of the lines; null without a visible character."""
+    kinds = shapes.page([shapes.line_kind(a, b) for a, b in zip(form.split("\n"), raw.split("\n"))])
+    n = sum(x for _, x, _ in kinds)
+    return sum(x for _, _, x in kinds) / n if n else None
+
+
+def document_stats(df: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per document with SCHEMA's columns; text_hash has 128 bits. Null and blank texts have zero counts and null statistics; an unknown or
+    null language becomes 'und', whose common words are those of all languages. Null keys are left out."""
+    make, words = former(df.sparkSession), common_words(common)
+    t = F.col(text).cast("string")
+    src = df.select(F.col(key).cast("bigint").alias("doc_id"), F.when(F.col(lang).isin(*LANGS), F.col(lang)).otherwise("und").alias("lang"), F.unhex(F.md5(t.cast("binary"))).alias("h"), t.alias("t")).where("doc_id is not null")
 
-def outlier_scores(stats: DataFrame, ranks: DataFrame) -> DataFrame:
-    """stats with outlier_score: mean over the ranked statistics of -log(min(P(X <= x), P(X >= x))), null for blank documents.
+    def run(batches):
+        forms = make()
+        for b in batches:
+            texts = b.column(3).to_pylist()
+            rows = [statistics(f or "", words.get(lg, words["und"])) for lg, f in zip(b.column(1).to_pylist(), forms(texts))]
+            cols = list(zip(*rows)) if rows else [[]] * (2 + len(NUMBERS))
+            kinds = [pa.int64()] * 2 + [pa.float64()] * len(NUMBERS)
+            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x or "") for x in texts], pa.int64()), *arrays], ["doc_id", "lang", "text_hash", "n_chars", "n_lines", "word_count", *NUMBERS])
 
-    A language with fewer than LEAST_TEXTS in the ranks takes those of EVERY where ranks have them, and null where they too are fewer. The ECDF goes to every task as one map per language: at most 1001 x len(RANKED) entries each.
-    """
-    tail = -F.log(F.least(F.col("upto"), F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
-    maps = ranks.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("=", "stat", F.format_string("%.3f", "value")), tail))).alias("tails"), F.max("total").alias("total"))
-    every = maps.where(F.col("lang") == EVERY).select(F.when(F.col("total") >= LEAST_TEXTS, F.col("tails")).alias("_tails"), F.lit(True).alias("_every"))
-    maps = maps.where(F.col("lang") != EVERY).join(F.broadcast(every), how="left").select("lang", F.when((F.col("total") < LEAST_TEXTS) & F.col("_every"), F.col("_tails")).otherwise(F.col("tails")).alias("tails"))
-    parts = [F.col("tails")[F.concat(F.lit(c + "="), F.format_string("%.3f", F.col(c)))] for c in RANKED]
-    score = sum(parts[1:], parts[0]) / len(RANKED)
-    return stats.join(F.broadcast(maps), "lang", "left").withColumn("outlier_score", F.when(F.col("mean_word_length").isNotNull(), score)).drop("tails")
+    return src.mapInArrow(run, SCHEMA)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+def list_shares(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, list_share) of every row with a visible character."""
+    make = former(df.sparkSession)
+    src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t <> ''")
 
+    def run(batches):
+        forms = make()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list_share(f, t) for f, t in zip(forms(texts), texts)], pa.float64())], ["k", "list_share"])
 
-def scores(df: DataFrame, common: DataFrame) -> DataFrame:
-    stats = materialize(document_stats(df, common, with_hash=True))
-    return outlier_scores(stats.drop("text_hash"), materialize(ecdf(votes(stats))))
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, list_share double").where("list_share is not null").withColumnRenamed("k", key)
 
 
-def not_prose(scores: DataFrame, min_score: float = MIN_SCORE, list_share: float = LIST_SHARE) -> DataFrame:
-    """Outliers of which more than list_share of the characters stand outside sentences; that alone decides for documents that could not be ranked."""
-    return scores.where((F.col("outlier_score").isNull() | (F.col("outlier_score") >= min_score)) & (F.col("list_share") > list_share))
+def votes(stats: DataFrame) -> DataFrame:
+    """One row of statistics for each distinct text of a language, blank ones left out. Copies are combined before the shuffle."""
+    return stats.where("mean_word_length is not null").groupBy("lang", "text_hash").agg(*(F.first(c).cast("double").alias(c) for c in SIDES))
+
+
+def _local_ranks(batches):
+    """Ranks inside one sorted partition: lower counts the smaller values of the same group and statistic, ties the equal ones."""
+    t = pa.Table.from_batches(list(batches))
+    if not t.num_rows:
+        return
+    t = t.combine_chunks()
+    grp, stat, value = t["grp"].to_numpy(zero_copy_only=False).astype(str), t["stat"].to_numpy(), t["value"].to_numpy()
+    new = np.ones(len(value), bool)
+    new[1:] = (grp[1:] != grp[:-1]) | (stat[1:] != stat[:-1])
+    step = new.copy()
+    step[1:] |= value[1:] != value[:-1]
+    at = np.arange(len(value))
+    first = np.maximum.accumulate(np.where(step, at, 0))
+    begin = np.maximum.accumulate(np.where(new, at, 0))
+    ends = np.append(np.flatnonzero(step)[1:], len(value))
+    ties = (ends - np.flatnonzero(step))[np.cumsum(step) - 1]
+    yield from t.append_column("lower", pa.array(first - begin, pa.int64())).append_column("ties", pa.array(ties, pa.int64())).to_batches()
+
+
+def exact_ranks(values: DataFrame, ranges: int | None = None) -> DataFrame:
+    """values (grp, stat, value, and what else they carry) with lower, ties and total: how many values of the same grp and stat are smaller, equal,
+    and there. Null values are left out.
+
+    One range-partitioned sort; a value that a third of all rows share is spread over partitions by the other columns. What is gathered are one row
+    per partition, group and statistic in it, and the values at the edges of partitions: both are broadcast and as many as there are partitions.
+    """
+    spark = values.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["grp", "stat", "value"]
+    rest = [c for c in values.columns if c not in order]
+    d = values.where("value is not null").repartitionByRange(ranges, *order, *rest).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema) + ", lower bigint, ties bigint"
+    local = materialize(d.mapInArrow(_local_ranks, schema))
+    by = Window.partitionBy("grp", "stat")
+    parts = local.groupBy("grp", "stat", "part").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.min_by("ties", "value").alias("lo_ties"), F.max("value").alias("hi"), F.max_by("ties", "value").alias("hi_ties"))
+    parts = parts.withColumns({"before": F.coalesce(F.sum("n").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(by)})
+    parts = materialize(parts)
+    low = F.struct(F.col("lo").alias("value"), F.col("before").alias("under"), F.col("lo_ties").alias("t"))
+    high = F.struct(F.col("hi").alias("value"), (F.col("before") + F.col("n") - F.col("hi_ties")).alias("under"), F.col("hi_ties").alias("t"))
+    edges = parts.select("grp", "stat", F.explode(F.array_distinct(F.array(low, high))).alias("x")).groupBy("grp", "stat", F.col("x.value").alias("value")).agg(F.min("x.under").alias("under"), F.sum("x.t").alias("all_ties"))
+    out = local.join(F.broadcast(parts.select("grp", "stat", "part", "before", "total")), ["grp", "stat", "part"]).join(F.broadcast(edges), order, "left")
+    return out.select(*order, *rest, F.coalesce("under", F.col("before") + F.col("lower")).alias("lower"), F.coalesce("all_ties", "ties").alias("ties"), "total")
+
+
+def surprise(side: Column, lower: Column, ties: Column, total: Column) -> Column:
+    """-log of the tail probability of a value with the given counts."""
+    up, down = (total - lower) / total, (lower + ties) / total
+    return -F.log(F.when(side == "high", up).when(side == "low", down).otherwise(F.least(F.lit(1.0), 2 * F.least(up, down))))
+
+
+def outlier_scores(stats: DataFrame, scored: tuple[str, ...] = SCORED, others: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """(lang, text_hash, outlier_score, tails) of every distinct text that could be ranked; tails maps the ranked statistics, those of others too, to
+    their -log tail probabilities."""
+    one = materialize(votes(stats))
+    sizes = {r.lang: r["count"] for r in one.groupBy("lang").count().collect()}
+    small = [lg for lg, n in sizes.items() if n < LEAST_TEXTS]
+    names = [*scored, *others]
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(names)))).alias("x")
+    long = one.select(F.col("lang").alias("grp"), "lang", "text_hash", pairs).where(~F.col("lang").isin(small) if small else F.lit(True))
+    if small and sum(sizes.values()) >= LEAST_TEXTS:
+        long = long.unionByName(one.select(F.lit(EVERY).alias("grp"), "lang", "text_hash", pairs))
+    ranked = exact_ranks(long.select("grp", "x.stat", "x.value", "lang", "text_hash"), ranges)
+    # Texts of all languages stand in the ranks of EVERY, only those of small ones are judged by them.
+    ranked = ranked.where((F.col("grp") != EVERY) | (F.col("lang").isin(small) if small else F.lit(False)))
+    side = F.element_at(F.array(*(F.lit(SIDES[c]) for c in names)), F.col("stat") + 1)
+    d = ranked.select("lang", "text_hash", "stat", surprise(side, F.col("lower"), F.col("ties"), F.col("total")).alias("s"))
+    g = d.groupBy("lang", "text_hash").agg(F.collect_list(F.struct("stat", "s")).alias("x"))
+    top = F.slice(F.sort_array(F.transform(F.filter("x", lambda v: v["stat"] < len(scored)), lambda v: v["s"]), asc=False), 1, TAILS)
+    name = F.array(*map(F.lit, names))
+    tails = F.map_from_entries(F.transform("x", lambda v: F.struct(F.element_at(name, v["stat"] + 1), v["s"])))
+    return g.select("lang", "text_hash", F.aggregate(top, F.lit(0.0), lambda a, x: a + x / TAILS).alias("outlier_score"), tails.alias("tails"))
+
+
+def candidates(stats: DataFrame, scores: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """doc_id of the documents to look at closely: those of a high score, and those with visible characters that could not be ranked."""
+    d = stats.where("mean_word_length is not null").select("doc_id", "lang", "text_hash").join(scores.select("lang", "text_hash", "outlier_score"), ["lang", "text_hash"], "left")
+    return d.where(F.col("outlier_score").isNull() | (F.col("outlier_score") >= min_score)).select("doc_id")
+
+
+def not_prose(df: DataFrame, common: DataFrame, min_score: float = MIN_SCORE, share: float = LIST_SHARE) -> DataFrame:
+    """doc_id of the outliers of which more than `share` of the characters stand outside sentences. Null, empty and blank texts are none. A doc_id that
+    is stored twice is one document if either text is found."""
+    stats = materialize(document_stats(df, common))
+    close = candidates(stats, outlier_scores(stats), min_score)
+    return list_shares(df.select("doc_id", "text").join(close, "doc_id", "left_semi")).where(F.col("list_share") > share).select("doc_id").distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return not_prose(scored(spark, sf_dir)).select("doc_id")
+    return not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
 
 
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and score of every document."""
-    return scored(spark, sf_dir)
+    """Statistics, share outside sentences, tails of all statistics and outlier score of every document; null scores where it is blank or not ranked."""
+    docs = table(spark, sf_dir, "documents")
+    stats = materialize(document_stats(docs, table(spark, sf_dir, "common_word")))
+    scores = outlier_scores(stats, others=tuple(c for c in SIDES if c not in SCORED))
+    out = stats.join(scores, ["lang", "text_hash"], "left").join(list_shares(docs).groupBy("doc_id").agg(F.max("list_share").alias("list_share")), "doc_id", "left")
+    return out.select("doc_id", "lang", "n_chars", "n_lines", "word_count", *NUMBERS, "list_share", "outlier_score", "tails")
 
 
 QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats}

@@ -44,6 +44,8 @@ MOJIBAKE = re.compile("[\u00c2\u00c3\u00e2-\u00ef][\u0080-\u00bf\u0152\u0153\u01
 ODD = re.compile("[\u0080-\u009f\u00c2\u00c3\u00e2-\u00ef\ue000-\uf8ff\ufffd]")
 DIGIT = re.compile(r"\d")
 SYMBOLS = re.compile(r"[^\w\s]")
+#: Letters of scripts for which there are no function words here: text in them is taken for prose unless its separators make it a list.
+FOREIGN = re.compile("[\u0370-\u1fff\u3040-\u30ff\uac00-\ud7af]")
 PATHS = re.compile(r"\s[>»/|]\s")
 LONE_FIELD = re.compile(r"\s*[^\s:：]{1,16}(?: [^\s:：]{1,12})?\s?[:：]\s?.{1,24}")
 VOWELS = "aeiouyàâäéèêëîïôöùûü"
@@ -236,7 +238,9 @@ def measure(line: str, raw: str | None = None) -> tuple[Shape, int, int]:
         rest = rest[marker.end() - 1 :]
     ends = min(1, len(END.findall(rest)))
     prose = (han >= 8 and f_zh >= 0.03 * han) or (len(words) >= 4 and f_la >= 0.12 * len(words) and f_la >= 1)
-    function = PROSE * prose | SOME * (f_zh + f_la > 0) | SEVERAL * (f_zh + f_la > 1) | DENSE * (f_zh > 0.05 * han)
+    foreign = not raw.isascii() and 3 * len(FOREIGN.findall(raw)) > n
+    prose = prose or foreign and n >= 8
+    function = PROSE * prose | SOME * (f_zh + f_la > 0 or foreign) | SEVERAL * (f_zh + f_la > 1) | DENSE * (f_zh > 0.05 * han)
     base = Shape(size, han_class, word_class, capital_class, function=function, ends=ends, signs=MARKED * bool(marker))
     if linked:
         kept = visible(rest)
@@ -283,7 +287,7 @@ def measure(line: str, raw: str | None = None) -> tuple[Shape, int, int]:
             signs |= PATH
         if han and tokens >= 5 and letters <= 10 * tokens:
             signs |= SPACED
-        if len(words) >= 8 and f_la <= 0.05 * len(words) and han < len(words):
+        if not foreign and len(words) >= 8 and f_la <= 0.05 * len(words) and han < len(words):
             vowels = sum(any(v in w for v in VOWELS) for w in low)
             signs |= BAG | HARD * (vowels < 0.9 * len(low) or max(map(len, low)) > 18)
         if fields and size <= 2 and LONE_FIELD.fullmatch(rest):
