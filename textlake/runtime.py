@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -28,7 +29,9 @@ def session(app: str = "textlake", master: str | None = None, **conf) -> SparkSe
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
-    return b.config(map=settings).getOrCreate()
+    spark = b.config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,13 +55,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one machine has a folder of its own (tests); a cluster has none, and
+    that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: set it to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"textlake-shared-{os.getpid()}")
     return at.rstrip("/")
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Sends a file to the executors once a session; shipped() finds it there."""
+    key = f"{spark.sparkContext.applicationId} {path}"
+    if key not in _SHIPPED:
+        _SHIPPED.add(key)
+        spark.sparkContext.addFile(path)
+
+
+def shipped(path: str) -> str:
+    """Where an executor has a file: at its own path, or as sent by ship_file()."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def remove(at: str, spark: SparkSession) -> None:
+    """Removes a table that materialize() wrote before the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that costs far more than moving its rows.
 
@@ -87,7 +112,6 @@ def _clean() -> None:
         shutil.rmtree(folder, ignore_errors=True)
     for spark, at in _WRITTEN:
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(at, spark)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
