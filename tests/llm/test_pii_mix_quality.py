@@ -1,6 +1,7 @@
 """Problems 2, 3, 4 and 10."""
 
 import math
+import os
 
 import pytest
 
@@ -227,12 +228,46 @@ def corpus(spark, n=60):
 
 def test_subjects(spark):
     docs, labels = corpus(spark)
-    sample = subjects.labelled_sample(docs, labels)
-    weights = subjects.fit_topics(sample, subjects.vocabulary(sample))
-    got = {(r.row_id, r.subject) for r in subjects.assign(subjects.subject_shares(docs.selectExpr("*", "1 as n", "'z' as subject"), weights)).collect()}
+    model, bags = subjects.train(docs.selectExpr("*", "1 as n", "'z' as subject", "0 as ids"), labels, max_share=0.6)
+    got = {(r.row_id, r.subject) for r in subjects.assign(subjects.subject_shares(bags, model)).collect()}
     assert got == {(i, "sport" if i % 2 else "law") for i in range(60)}
-    assert subjects.subject_shares(docs.limit(0), weights).count() == 0
-    assert subjects.fit_topics(sample.limit(0), {}) == {} and subjects.subject_shares(docs, {}).count() == 0
+    assert set(model.subjects) >= {"law", "sport"}
+    assert subjects.subject_shares(bags.limit(0), model).count() == 0
+    assert subjects.train(docs.limit(0), labels) is None and subjects.train(docs, labels.limit(0)) is None
+
+
+def test_topics_decide_not_the_labels_of_terms(spark):
+    """'安排' stands in texts of law and of sport: the topics of the document it is in decide, and a document of other words has its topic from the
+    unlabelled texts that share words with it."""
+    rows, labels = [], []
+    for i in range(80):
+        s = i % 2
+        a, b = (("球员进球得分", "教练组织训练"), ("法院作出判决", "律师提交合同"))[s]
+        rows.append((i, f"{a}第{i}天。临时安排照旧。{b}第{i}天。临时安排照旧。", "a"))
+        labels.append((i, ("sport", "law")[s], "x"))
+    docs = spark.createDataFrame([*rows, (900, "法院作出判决。临时安排照旧。律师提交合同。", "a"), (901, "球员进球得分。临时安排照旧。教练组织训练。", "a")], "row_id bigint, text string, source_name string")
+    model, bags = subjects.train(docs, spark.createDataFrame(labels, "row_id bigint, subject string, annotator string"), max_share=1.0)
+    got = {r.row_id: r.subject for r in subjects.assign(subjects.subject_shares(bags, model)).where("row_id >= 900").collect()}
+    assert got == {900: "law", 901: "sport"}
+
+
+def test_inference_against_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    topics = rng.gamma(1.0, 1.0, (4, 9)) + 0.1
+    docs = [rng.integers(0, 9, n).tolist() for n in (5, 0, 12, 1)]
+    bag = subjects.Bags(docs)
+    q = bag.infer(subjects.word_weights(topics), 5)
+    beta = np.exp(subjects.digamma(topics) - subjects.digamma(topics.sum(1, keepdims=True)))
+    for j, d in enumerate(docs):
+        gamma = np.full(4, subjects.ALPHA + len(d) / 4)
+        for _ in range(5):
+            p = np.exp(subjects.digamma(gamma))[:, None] * beta[:, d]
+            p /= p.sum(0)
+            gamma = subjects.ALPHA + p.sum(1)
+        assert np.allclose(q[bag.doc == j].sum(0), gamma - subjects.ALPHA if d else 0, atol=1e-3)
+    assert [bag.term[i] for i in bag.of_token] == [w for d in docs for w in d]
 
 
 def test_digamma():
@@ -241,9 +276,23 @@ def test_digamma():
     assert np.allclose(subjects.digamma(np.array([1.0, 0.1, 10.0])), [-0.5772156649, -10.4237549404, 2.2517525890], atol=1e-7)
 
 
-def test_subjects_held_out(spark, data):
-    """Rows found agree with the labels of the small table, of which few remain for the fit."""
-    assert subjects.p2_found(spark, data).count() >= 0
+def test_subjects_held_out(spark):
+    """Fit on one half of some 9,700 labelled rows, judged on the other; some of the labels are wrong, which bounds both figures."""
+    at = "/root/testdata/check_l"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{at}/adapted_document.parquet").select("row_id", "text"), spark.read.parquet(f"{at}/subject_label.parquet")
+    docs = docs.join(labels.select("row_id").distinct(), "row_id", "left_semi")
+    half = subjects.F.pmod(subjects.F.xxhash64("row_id", subjects.F.lit(5)), subjects.F.lit(2)) == 0
+    model, bags = subjects.train(docs, labels.where(half))
+    found = {(r.row_id, r.subject) for r in subjects.assign(subjects.subject_shares(bags, model)).collect()}
+    rows = {r.row_id for r in docs.where("text <> ''").select("row_id").collect()}
+    want = {(r.row_id, r.subject) for r in labels.where(~half & subjects.F.col("subject").isNotNull()).collect() if r.row_id in rows}
+    judged = {i for i, _ in want}
+    want = {x for x in want if x[1] != "none"}
+    mine = {x for x in found if x[0] in judged}
+    print("recall", len(mine & want) / len(want), "precision", len(mine & want) / len(mine))
+    assert len(mine & want) >= 0.9 * len(want) and len(mine & want) >= 0.9 * len(mine)
 
 
 def test_queries_run(spark, data):
