@@ -82,6 +82,30 @@ def test_hints_hide_no_find(text, found):
     assert [text[a:b] for a, b, _ in pii.find(text)] == [found]
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("今天王小明来过。", []), ("今天,王小明来过。", []), ("联系人:王小明,来过。", ["王小明"]), ("今天,王小明介绍了情况。", []), ("据王小明介绍,情况良好。", ["王小明"]), ("证据王小明介绍,情况良好。", []), ("李国强把车停了。", ["李国强"]), ("请交给门口的王小明联系。", ["王小明"]),
+        ("Then John Smith left", []), ("Contact John Smith, please", ["John Smith"]), ("Contact Smith Street Company", []), ("Well. John Smith said so", ["John Smith"]),
+    ],
+)
+def test_words_beside_a_name_move_its_score(text, found):
+    assert [text[a:b] for a, b, k in pii.find(text) if k == "name"] == found
+
+
+def test_overlaps_against_plain_loops():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        hits = [(-rng.random(), 0, a := rng.randint(0, 60), a + rng.randint(1, 9), "x") for _ in range(rng.randint(0, 25))]
+        taken = []
+        for _, _, a, b, k in sorted(hits):
+            if all(b <= x or a >= y for x, y, _ in taken):
+                taken.append((a, b, k))
+        assert pii._without_overlaps(hits) == sorted(taken)
+
+
 def test_checks():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod_97("GB82WEST12345698765432") and not pii.mod_97("GB82WEST12345698765431")
     assert pii.iso_mod_11_2("11010519491231002X") and not pii.iso_mod_11_2("110105194912310021")
@@ -104,29 +128,30 @@ RECORDS = "row_id bigint, source_name string, chars bigint, weight double"
 
 def test_mix_against_a_plain_version(spark):
     rows = [(i, "big" if i % 3 else "small", 10 + i % 7, 1.0 if i % 2 else 0.3) for i in range(600)] + [(None, "big", 5, 1.0), (9001, "big", None, None), (9002, None, 7, 1.0), (9003, "other", 7, 1.0)]
-    targets = spark.createDataFrame([("big", "w", 0.3, 2), ("small", "w", 0.6, 3), ("none", "w", 0.1, 2)], "source_name string, source_type string, target_share double, max_repeat int")
-    rec = spark.createDataFrame(rows, RECORDS).selectExpr("*", "0.5 as key", "1 as part")
-    got = {(r.source_name, r.row_id): r.uses for r in mixing.mix(rec.drop("key", "part"), targets, ranges=8).collect()}
-    keys = {r.row_id: r.k for r in rec.where("row_id is not null").select("row_id", (-mixing.F.log(mixing.unit_hash("row_id", seed=0)) / mixing.F.coalesce("weight", mixing.F.lit(1.0))).alias("k")).collect()}
-    usable = [(i, s, c or 0) for i, s, c, _ in rows if i is not None]
+    targets = spark.createDataFrame([("big", "w", 0.3, 2), ("small", "w", 0.6, 3), ("none", "w", 0.1, 2), (None, "w", 0.0, 1)], "source_name string, source_type string, target_share double, max_repeat int")
+    rec = spark.createDataFrame(rows, RECORDS).selectExpr("*", "0.5 as key", "1 as part", "2 as running")
+    ordered = mixing.key_order(rec, targets, ranges=8)
+    got = {(r.source_name, r.row_id): r.uses for r in mixing.mix(ordered, targets).collect()}
+    keys = {r.row_id: r.k for r in rec.select("row_id", (-mixing.F.log(mixing.unit_hash("row_id", seed=0)) / mixing.F.coalesce("weight", mixing.F.lit(1.0))).alias("k")).collect()}
+    usable = [(i, s, c or 0) for i, s, c, _ in rows]
     total = sum(c for _, s, c in usable if s in ("big", "small"))
     want = {}
     for s, share, most in (("big", 0.3, 2), ("small", 0.6, 3)):
-        mine = sorted((keys[i], i, c) for i, x, c in usable if x == s)
+        mine = sorted((keys[i], i or -1, i, c) for i, x, c in usable if x == s)
         chars = sum(c for *_, c in mine)
         budget = min(math.floor(share * total), most * chars)
         epochs, run = budget // chars, 0
-        for _, i, c in mine:
+        for _, _, i, c in mine:
             run += c
             uses = epochs + (run <= budget - epochs * chars and budget > epochs * chars)
             if uses:
                 want[s, i] = uses
     assert got == want and max(got.values()) <= 3
-    b = {r.source_name: r.reachable for r in mixing.source_budgets(rec, targets).collect()}
+    b = {r.source_name: r.reachable for r in mixing.source_budgets(ordered, targets).collect()}
     assert b["none"] is False
-    rep = {r.source_name: r for r in mixing.report(mixing.mix(rec, targets), rec, targets).collect()}
+    rep = {r.source_name: r for r in mixing.report(ordered, targets).collect()}
     assert rep["none"].mixed_chars == 0 and rep["big"].most_uses <= 2
-    assert mixing.mix(rec.limit(0), targets).count() == 0
+    assert mixing.mix(mixing.key_order(rec.limit(0), targets), targets).count() == 0
 
 
 @pytest.mark.parametrize("ranges", [1, 7, 40])

@@ -3,20 +3,17 @@
 Weighted sampling without replacement by exponential keys (Efraimidis and Spirakis): each record gets -ln(u) / weight from a hash of its id, records
 are put in key order within their source, and a running sum of characters fills the source's budget. Whole epochs of a source come first, at most
 max_repeat of them; the rest of the budget is a prefix of the key order.
-A source is cut into key ranges, so that no task sorts a whole source; the running sum is local to a range and shifted by the sums of the ranges
-before it. The borders are approximate quantiles of the keys, RANGES - 1 numbers a source.
+The texts are read once, for the characters and the weight of each record; all else is done on narrow rows. A source is cut into key ranges, so that
+no task sorts a whole source; the running sum is local to a range and shifted by the sums of the ranges before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.runtime import table
-
-#: Least number of key ranges of each source, the session's shuffle partitions where they are more; each range holds an equal part of the records.
-RANGES = 64
-
+from textlake.operators.mixture import running_total
+from textlake.runtime import materialize, table
 
 def unit_hash(*cols, seed: int = 0):
     """A number in (0, 1) from a 64-bit hash."""
@@ -30,12 +27,29 @@ def quality_weight(text):
     return F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(2.0) * F.greatest(F.lit(0.0), other / n - F.lit(0.15)))
 
 
-def source_budgets(records: DataFrame, targets: DataFrame) -> DataFrame:
+def key_order(records: DataFrame, targets: DataFrame, seed: int = 0, ranges: int | None = None) -> DataFrame:
+    """(row_id, source_name, chars, key, running): the records of the targeted sources with their exponential keys and, within their source, the sum of
+    characters up to and with each in key order.
+
+    records: (row_id, source_name, chars, weight); null chars count as 0, null weights as 1; ties of the key are broken by row_id. The records are
+    written once as narrow rows; a source that holds a third of them is cut into ranges of the key (see mixture.running_total).
+    """
+    known = targets.select(F.col("source_name").alias("_s")).where("_s is not null").distinct()
+    weight = F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-6))
+    r = records.select("row_id", "source_name", F.coalesce("chars", F.lit(0)).cast("bigint").alias("chars"), (-F.log(unit_hash("row_id", seed=seed)) / weight).alias("key"))
+    # The targets are one row per source: a table that does not grow with the records.
+    r = materialize(r.join(F.broadcast(known), F.col("source_name") == F.col("_s"), "left_semi"))
+    ran = running_total(r, ["source_name"], "key", F.col("chars"), "_before", ranges, tie="row_id")
+    return materialize(ran.select("row_id", "source_name", "chars", "key", (F.col("_before") + F.col("chars")).alias("running")))
+
+
+def source_budgets(ordered: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: chars and records of its source (0 where it has none), total characters of all targeted sources, budget, reachable.
 
-    records: (source_name, chars). Sources without a target stay out. target_share or max_repeat null counts as 0.
+    A source has as many characters as its prefix sum ends with; it cannot reach its share where max_repeat whole epochs end before the budget does.
+    target_share or max_repeat null counts as 0.
     """
-    per = records.groupBy("source_name").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("records"))
+    per = ordered.groupBy("source_name").agg(F.max("running").alias("chars"), F.count(F.lit(1)).alias("records"))
     t = targets.select("source_name", "source_type", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeat", F.lit(0)).alias("max_repeat"))
     j = t.join(per, "source_name", "left").withColumn("chars", F.coalesce("chars", F.lit(0))).withColumn("records", F.coalesce("records", F.lit(0)))
     total = j.select("source_name", "chars").distinct().agg(F.sum("chars").alias("total_chars"))
@@ -49,30 +63,18 @@ def source_budgets(records: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(records: DataFrame, targets: DataFrame, seed: int = 0, ranges: int | None = None) -> DataFrame:
-    """(row_id, source_name, chars, uses): how often each record is used. Records that are not used are left out.
-
-    records: (row_id, source_name, chars, weight); null chars count as 0, null weights as 1, null row ids are left out. The last record of the
-    fractional part is the last that fits whole before the budget is passed. Ties of the key are broken by row_id.
-    """
-    ranges = ranges or max(RANGES, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    r = records.where("row_id is not null and source_name is not null").select("row_id", "source_name", F.coalesce("chars", F.lit(0)).alias("chars"), F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-6)).alias("weight"))
-    b = source_budgets(r, targets).groupBy("source_name").agg(F.max("epochs").alias("epochs"), F.max("rest").alias("rest"))
-    u = unit_hash("row_id", seed=seed)
-    keyed = r.withColumn("key", -F.log(u) / F.col("weight"))
-    borders = keyed.groupBy("source_name").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 50 * ranges).alias("borders"))
-    keyed = keyed.join(F.broadcast(b.join(borders, "source_name")), "source_name").withColumn("part", F.size(F.filter("borders", lambda x: x < F.col("key")))).drop("borders")
-    sums = keyed.groupBy("source_name", "part").agg(F.sum("chars").alias("s"))
-    offsets = sums.select("source_name", "part", (F.sum("s").over(Window.partitionBy("source_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before")).na.fill(0, ["before"])
-    local = Window.partitionBy("source_name", "part").orderBy("key", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    ran = keyed.join(F.broadcast(offsets), ["source_name", "part"]).withColumn("running", F.col("before") + F.sum("chars").over(local))
+def mix(ordered: DataFrame, targets: DataFrame) -> DataFrame:
+    """(row_id, source_name, chars, uses): how often each record of key_order() is used: all whole epochs, and once more the prefix of the key order that
+    fits the rest of the budget. Records that are not used are left out. Null row ids are records like others."""
+    b = source_budgets(ordered, targets).groupBy("source_name").agg(F.max("epochs").alias("epochs"), F.max("rest").alias("rest"))
+    ran = ordered.join(F.broadcast(b), "source_name")
     return ran.withColumn("uses", (F.col("epochs") + F.when((F.col("running") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)).cast("int")).where("uses > 0").select("row_id", "source_name", "chars", "uses")
 
 
-def report(mixed: DataFrame, records: DataFrame, targets: DataFrame) -> DataFrame:
+def report(ordered: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: what was wanted, what the mix holds, the real share, and whether the source can reach its share at all."""
-    used = mixed.groupBy("source_name").agg(F.sum(F.col("chars") * F.col("uses")).alias("mixed_chars"), F.count(F.lit(1)).alias("records_used"), F.max("uses").alias("most_uses"))
-    b = source_budgets(records, targets).join(used, "source_name", "left").na.fill(0, ["mixed_chars", "records_used", "most_uses"])
+    used = mix(ordered, targets).groupBy("source_name").agg(F.sum(F.col("chars") * F.col("uses")).alias("mixed_chars"), F.count(F.lit(1)).alias("records_used"), F.max("uses").alias("most_uses"))
+    b = source_budgets(ordered, targets).join(used, "source_name", "left").na.fill(0, ["mixed_chars", "records_used", "most_uses"])
     total = used.agg(F.sum("mixed_chars").alias("all_chars"))
     return b.crossJoin(F.broadcast(total)).select(
         "source_name", "source_type", "target_share", "max_repeat", "records", "chars", "reachable", "mixed_chars", "records_used", "most_uses",
@@ -80,29 +82,32 @@ def report(mixed: DataFrame, records: DataFrame, targets: DataFrame) -> DataFram
     )
 
 
-def _records(spark: SparkSession, sf_dir: str, weights: bool) -> DataFrame:
-    t = F.col("text")
-    w = quality_weight(t) if weights else F.lit(1.0)
-    return table(spark, sf_dir, "adapted_document").select("row_id", "source_name", F.coalesce(F.length(t), F.lit(0)).cast("bigint").alias("chars"), w.alias("weight"))
+def _ordered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The records of adapted_document in key order, and the targets. Characters are counted from the texts, for char_count is not reliable."""
+    t, targets = F.col("text"), table(spark, sf_dir, "mix_target")
+    records = table(spark, sf_dir, "adapted_document").select("row_id", "source_name", F.coalesce(F.length(t), F.lit(0)).cast("bigint").alias("chars"), quality_weight(t).alias("weight"))
+    return key_order(records, targets), targets
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that cannot be reached. Characters are counted from the texts, for char_count is not reliable."""
-    return source_budgets(_records(spark, sf_dir, False), table(spark, sf_dir, "mix_target")).where("not reachable").select("source_name").distinct()
+    """Sources whose key order ends before their budget, however often it is repeated."""
+    return report(*_ordered(spark, sf_dir)).where("not reachable").select("source_name").distinct()
 
 
 def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_records(spark, sf_dir, True), table(spark, sf_dir, "mix_target"))
+    return mix(*_ordered(spark, sf_dir))
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textlake.runtime import materialize
+    return report(*_ordered(spark, sf_dir))
+
 
-    targets, records = table(spark, sf_dir, "mix_target"), _records(spark, sf_dir, True)
-    return report(materialize(mix(records, targets)), records, targets)
+def p3_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sampling gives each source: whole epochs, and what is left for the fractional one."""
+    return source_budgets(*_ordered(spark, sf_dir)).select("source_name", "records", F.col("chars").cast("bigint").alias("chars"), F.col("total_chars").cast("bigint").alias("total_chars"), "epochs", F.col("rest").cast("bigint").alias("rest"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_mix": p3_mix, "p3_shares": p3_shares}
+QUERIES = {"p3_found": p3_found, "p3_mix": p3_mix, "p3_shares": p3_shares, "p3_budgets": p3_budgets}
 
 #: The shortfall and the totals are plain sums; the sampled rows are not SQL.
 SQL = {
@@ -111,4 +116,9 @@ SQL = {
         t as (select sum(chars) total from c)
         select distinct m.source_name from mix_target m left join c using (source_name) cross join t
         where m.max_repeat * coalesce(c.chars, 0) < m.target_share * t.total""",
+    "p3_budgets": """
+        with c as (select source_name, sum(coalesce(length(text), 0)) chars, count(*) records from adapted_document group by 1), j as (select m.*, coalesce(c.chars, 0) chars, coalesce(c.records, 0) records from mix_target m left join c using (source_name)),
+        b as (select *, sum(chars) over () total_chars, least(floor(target_share * sum(chars) over ()), max_repeat * chars) budget from j),
+        e as (select *, case when chars > 0 then floor(budget / chars) else 0 end epochs from b)
+        select source_name, records::bigint records, chars::bigint chars, total_chars::bigint total_chars, epochs::bigint epochs, (budget - epochs * chars)::bigint rest from e""",
 }

@@ -21,6 +21,8 @@ from textlake.runtime import materialize, table
 GROUP_ITEMS = 10_000
 #: Tasks over which the groups are spread at most.
 MAX_TASKS = 20_000
+#: Container sizes at most.
+MAX_CAPACITIES = 1000
 OUT = "container string, container_id bigint, doc_id bigint, part int, first_token bigint, tokens bigint, space_left bigint"
 
 
@@ -108,12 +110,14 @@ def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
 def pack_documents(sizes: DataFrame, capacities: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:
     """OUT: one row per document, or part of a split one, and container size. sizes: (doc_id, n_tokens); null ids are left out, null sizes count as 0.
 
-    capacities: (container, capacity_tokens), a few rows, broadcast; those that are null or not positive are left out. A repeated doc_id is packed as
+    capacities: (container, capacity_tokens), broadcast, at most MAX_CAPACITIES rows, more are an error; those that are null or not positive are left out. A repeated doc_id is packed as
     often as it comes.
     """
     groups = max(1, -(-sizes.count() // group_items))
     s = sizes.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"))
-    c = capacities.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity")).limit(1000)
+    c = capacities.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    if c.count() > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} container sizes")
     return s.crossJoin(F.broadcast(c)).repartition(min(groups * 4, MAX_TASKS), "container", "grp").groupBy("container", "grp").applyInPandas(pack_group, OUT)
 
 
@@ -128,4 +132,21 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("container").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.sum(F.col("tokens") + F.col("space_left")), 6).alias("fill"))
 
 
-QUERIES = {"p9_packing": p9_packing, "p9_fill": p9_fill}
+def p9_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container size: documents that lie in containers, containers that hold more than their capacity, containers whose space left is not what is
+    not filled, documents whose parts are not the whole document, and needless splits."""
+    sizes = materialize(token_counts(table(spark, sf_dir, "documents"), "doc_id"))
+    capacities = table(spark, sf_dir, "pack_capacity")
+    p = materialize(pack_documents(sizes, capacities))
+    boxes = p.groupBy("container", "container_id").agg(F.sum("tokens").alias("tokens"), F.max("space_left").alias("left")).join(F.broadcast(capacities), "container")
+    docs = p.groupBy("container", "doc_id").agg(F.sum("tokens").alias("packed"), F.count(F.lit(1)).alias("parts")).join(sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")), "doc_id").join(F.broadcast(capacities), "container")
+    a = boxes.groupBy("container").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("over_full"), F.count_if(F.col("tokens") + F.col("left") != F.col("capacity_tokens")).alias("wrong_space"))
+    b = docs.groupBy("container").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("packed") != F.col("n_tokens")).alias("not_whole"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("needless_splits"))
+    return a.join(b, "container").select("container", "documents", "over_full", "wrong_space", "not_whole", "needless_splits")
+
+
+QUERIES = {"p9_packing": p9_packing, "p9_fill": p9_fill, "p9_sound": p9_sound}
+
+SQL = {
+    "p9_sound": "select container, (select count(distinct doc_id) from documents) as documents, 0::bigint as over_full, 0::bigint as wrong_space, 0::bigint as not_whole, 0::bigint as needless_splits from pack_capacity where capacity_tokens > 0",
+}

@@ -1,13 +1,15 @@
 """Problem 4: personal information in free text.
 
 Regular expressions propose spans; a proposal starts with the score of its pattern, a checksum or calendar check confirms or refutes it, and words near
-it raise or lower the score; spans of a final score of at least MIN_SCORE are finds, the best of overlapping ones first.
+it raise or lower the score (of names they make nearly all of it); spans of a final score of at least MIN_SCORE are finds, the best of overlapping ones first.
 Matching runs on a width- and look-alike-free copy of the text of which each character knows its place, so a find is given exactly as it stands.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,8 +35,7 @@ FAMILY_NAMES = (
 ORGANISATIONS = frozenset("Guild Club Trust Desk Forum Group Centre Center Society Institute Workshop Collective Office Courier Board University College Street Road Lane Avenue Company Press Ltd Inc Union Team".split())
 NOT_GIVEN = frozenset("The A An From After Then On In At Of To For And But Mr Mrs Ms Miss Dr Sir Compared According Anyone Order Parcel Notes Seen".split())
 
-_fam = "(?:[" + "".join(n for n in FAMILY_NAMES if len(n) == 1) + "]|" + "|".join(n for n in FAMILY_NAMES if len(n) > 1) + ")"
-_name = rf"(?P<x>{_fam}[{H}]{{1,2}})"
+_fam = "(?:" + "|".join(n for n in FAMILY_NAMES if len(n) > 1) + "|[" + "".join(n for n in FAMILY_NAMES if len(n) == 1) + "])"
 _mobile = r"1[3-9]\d(?:[ \-]?\d{4}){2}"
 _edge = r"(?<![A-Za-z0-9@_./\-+])"
 _end = r"(?![A-Za-z0-9@_])(?![\-./]\d)"
@@ -126,12 +127,6 @@ RULES = (
         0.8,
         hint="street",
     ),
-    Rule("name", re.compile(rf"(?:姓名|联系人|收件人|寄件人|申请人|负责人|经办人|我叫|名叫|署名)[: ]{{0,2}}{_name}(?=[\s,。;:、()]|$|邮箱|电话)"), 0.9, hint="name"),
-    Rule("name", re.compile(rf"据{_name}(?=回忆|介绍|透露|称|讲述|描述)"), 0.9, hint="name"),
-    Rule("name", re.compile(rf"的{_name}(?=就行|即可|联系|处领)"), 0.9, hint="name"),
-    Rule("name", re.compile(rf"(?:[,。;:!?\s()\"“”、]|^){_name}(?=把[{H}]{{1,4}}[停放忘落借]|,(?:身份证|电话|手机|证件|现住|住址|家住)|\(\(?[+\d一]|\(?[^,。]{{0,24}}\)?托[{H}]{{2,14}}转告|在[{H}]{{2,8}}的留言)", re.M), 0.85, hint="name"),
-    Rule("name", re.compile(r"(?:[Mm]y name is|[Cc]ontact|Applicant|ask for|[Nn]ame:|[Ss]igned by|Signed,) (?P<x>[A-Z][a-zà-ÿ]+(?: [A-Z]\.)? [A-Z][a-zà-ÿ]+)(?! [A-Z][a-z])"), 0.9, hint="latin name"),
-    Rule("name", re.compile(r"(?:[.!?:\"”] |^)(?P<x>[A-Z][a-zà-ÿ]+(?: [A-Z]\.)? [A-Z][a-zà-ÿ]+)(?= of (?:Flat|Unit|Apt|\d)| (?:said|recalled|remembered|wrote|told) |, (?:ID|number|phone|born|aged) )", re.M), 0.8, hint="latin name"),
 )
 
 #: Cheap searches; a rule runs only on texts in which its hint is found. A hint is a part that every match of its rules has, in each alternative.
@@ -141,23 +136,108 @@ HINTS = {
     "numerals": re.compile(r"一[三-九三四五六七八九][一二三四五六七八九零〇]{9}"),
     "house": re.compile(r"\d号"),
     "street": re.compile(r"\d[A-Za-z]? [A-Z][a-z]"),
-    "name": re.compile(rf"姓名|系人|件人|申请人|负责人|经办人|我叫|名叫|署名|据[{H}]{{2,4}}(?:回忆|介绍|透露|称|讲述|描述)|的[{H}]{{2,4}}(?:就行|即可|联系|处领)|把[{H}]{{1,4}}[停放忘落借]|,(?:身份证|电话|手机|证件|现住|住址|家住)|\(\(?[+\d一]|托[{H}]{{2,14}}转告|在[{H}]{{2,8}}的留言"),
-    "latin name": re.compile(r"(?:y name is|ontact|pplicant|ask for|ame:|igned by|igned,) [A-Z]| of (?:Flat|Unit|Apt|\d)| (?:said|recalled|remembered|wrote|told) |, (?:ID|number|phone|born|aged) "),
 }
 _TRIM = ("收货地址", "联系地址", "地址", "住址", "现住", "我家住", "家住", "居住", "请寄到", "寄到", "送到", "寄往", "位于", "搬到", *"住址到寄往于在是为")
 
 
+@dataclass(frozen=True)
+class Names:
+    """Full names of one script: where one may begin, how long it may be, and what the words next to it say.
+
+    Every proposal has the score base, which is too little; the best of the words before and the best of those behind it add theirs.
+    """
+
+    #: Finds the place where a name may begin; group 1 is what it begins with.
+    start: re.Pattern
+    #: Ends of the name that begins at a match, the likelier first.
+    ends: Callable[[str, re.Match], list[int]]
+    base: float
+    before: tuple[tuple[re.Pattern, float], ...]
+    after: tuple[tuple[re.Pattern, float], ...]
+    #: Whether the name cannot be one.
+    refuted: Callable[[str, int, int], bool]
+
+    def propose(self, text: str):
+        for m in self.start.finditer(text):
+            a = m.start()
+            lead = text[max(0, a - 16) : a]
+            first = max((x for p, x in self.before if p.search(lead)), default=0.0)
+            for b in self.ends(text, m):
+                score = self.base + first + max((x for p, x in self.after if p.match(text, b)), default=0.0)
+                if score >= MIN_SCORE and not self.refuted(text, a, b):
+                    yield score, a, b
+
+
+def _han_ends(text: str, m: re.Match) -> list[int]:
+    family = m.end(1)
+    given = re.compile(rf"[{H}]{{0,2}}").match(text, family).end() - family
+    return [family + n for n in (2, 1) if n <= given]
+
+
+def _latin_refuted(text: str, a: int, b: int) -> bool:
+    first, *_, last = text[a:b].split()
+    return first in NOT_GIVEN or last in ORGANISATIONS
+
+
+#: The words beside names, and how much each kind of them says.
+NAMES = (
+    Names(
+        re.compile(rf"(?<![^,。;:!?\s()\"“”、据的人名叫])(?=({_fam})[{H}])"),
+        _han_ends,
+        0.2,
+        (
+            # A label ends where the name begins; what follows has to end the name.
+            (re.compile(r"(?:姓名|联系人|收件人|寄件人|申请人|负责人|经办人|我叫|名叫|署名)[: ]{0,2}$"), 0.5),
+            (re.compile(r"(?:^|[^证])据$"), 0.35),
+            (re.compile(r"的$"), 0.2),
+            (re.compile(r"(?:^|[,。;:!?\s()\"“”、])$"), 0.1),
+        ),
+        (
+            (re.compile(r"就行|即可|联系|处领"), 0.5),
+            (re.compile(rf"把[{H}]{{1,4}}[停放忘落借]|托[{H}]{{2,14}}转告|\(?[^,。]{{0,24}}\)?托[{H}]{{2,14}}转告|在[{H}]{{2,8}}的留言"), 0.5),
+            (re.compile(r",(?:身份证|电话|手机|证件|现住|住址|家住)|\(\(?[+\d一]"), 0.5),
+            (re.compile(r"回忆|介绍|透露|称|讲述|描述"), 0.35),
+            (re.compile(r"[\s,。;:、()]|\Z|邮箱|电话"), 0.25),
+        ),
+        lambda text, a, b: False,
+    ),
+    Names(
+        re.compile(r"(?<![A-Za-zà-ÿ])(?=([A-Z][a-zà-ÿ]+)(?: [A-Z]\.)? [A-Z][a-zà-ÿ])"),
+        lambda text, m: [_LATIN_NAME.match(text, m.start()).end()],
+        0.2,
+        (
+            (re.compile(r"(?:[Mm]y name is|[Cc]ontact|Applicant|ask for|[Nn]ame:|[Ss]igned by|Signed,) $"), 0.4),
+            (re.compile(r"(?:[.!?:\"”] |^|\n)$"), 0.1),
+        ),
+        (
+            (re.compile(r" of (?:Flat|Unit|Apt|\d)| (?:said|recalled|remembered|wrote|told) |, (?:ID|number|phone|born|aged) "), 0.5),
+            (re.compile(r"(?! [A-Z][a-z])"), 0.3),
+        ),
+        _latin_refuted,
+    ),
+)
+_LATIN_NAME = re.compile(r"[A-Z][a-zà-ÿ]+(?: [A-Z]\.)? [A-Z][a-zà-ÿ]+")
+
+
+def _without_overlaps(hits: list[tuple[float, int, int, int, str]]) -> list[tuple[int, int, str]]:
+    """The best hits first, then the longer ones; a hit that overlaps a taken one goes. Taken spans are kept sorted, so each hit meets two of them."""
+    taken: list[tuple[int, int, str]] = []
+    for _, _, a, b, kind in sorted(hits):
+        i = bisect_left(taken, (a,))
+        if (i == len(taken) or taken[i][0] >= b) and (not i or taken[i - 1][1] <= a):
+            taken.insert(i, (a, b, kind))
+    return taken
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the finds in a text that is free of look-alikes, in their order, without overlaps."""
     hits = []
     hinted = {k for k, p in HINTS.items() if p.search(text)}
-    if not hinted:
-        return []
     for rule in RULES:
         if rule.hint not in hinted:
             continue
         for m in rule.pattern.finditer(text):
-            a, b = m.span("x" if rule.kind == "name" else 0)
+            a, b = m.span()
             score = rule.score
             if rule.check:
                 score += rule.confirm if CHECKS[rule.check](re.sub(r"[ \-]", "", m.group())) else rule.deny
@@ -171,17 +251,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     if text.startswith(word, a) and rule.pattern.fullmatch(text, a + len(word), b):
                         a += len(word)
                         break
-            if rule.kind == "name" and rule.hint == "latin name":
-                first, *_, last = m["x"].split()
-                if first in NOT_GIVEN or last in ORGANISATIONS:
-                    continue
             if score >= MIN_SCORE:
                 hits.append((-score, a - b, a, b, rule.kind))
-    taken: list[tuple[int, int, str]] = []
-    for _, _, a, b, kind in sorted(hits):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, kind))
-    return sorted(taken)
+    for names in NAMES:
+        hits += [(-score, a - b, a, b, "name") for score, a, b in names.propose(text)]
+    return _without_overlaps(hits)
 
 
 class Finder:

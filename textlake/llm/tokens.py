@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.runtime import materialize, table
+from textlake.runtime import materialize, ship_file, shipped, table
 
 #: Folder of the public vocabularies, and the one that the queries use.
 TOKENIZERS = "/opt/tokenizers"
@@ -210,28 +210,30 @@ def chunks(texts: list[str]):
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """(key, ids) of every row, without special tokens: marker strings in a text are ordinary text. Null and empty texts give an empty list."""
+    ship_file(df.sparkSession, path)
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(shipped(path))
         for b in batches:
-            flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            # A batch of the result holds the ids of about CHUNK_CHARS characters, so that its offsets stay far from 32 bits however long the texts are.
+            first = 0
             for part in chunks(b.column(1).to_pylist()):
-                f, s = e.encode(part)
-                flat.append(f)
-                sizes.append(s)
-            at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(flat)))], ["k", "ids"])
+                flat, sizes = e.encode(part)
+                at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["k", "ids"])
+                first += len(part)
 
     return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
 
 
 def token_counts(df: DataFrame, key: str, text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """(key, n_tokens) of every row; 0 for null and empty texts."""
+    ship_file(df.sparkSession, path)
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(shipped(path))
         for b in batches:
             n = [np.zeros(0, np.int64), *map(e.counts, chunks(b.column(1).to_pylist()))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n))], ["k", "n_tokens"])
@@ -241,10 +243,11 @@ def token_counts(df: DataFrame, key: str, text: str = "text", path: str = f"{TOK
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
     """(key, text, offsets): the text of the ids and where each token begins in its bytes. A null list gives null."""
+    ship_file(df.sparkSession, path)
     src = df.select(F.col(key).alias("k"), F.col(ids).alias("i"))
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(shipped(path))
         for b in batches:
             lists = b.column(1).to_pylist()
             texts = [None if x is None else e.decode(x) for x in lists]
@@ -295,8 +298,27 @@ def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(table(spark, sf_dir, "adapted_document"))
 
 
+def p6_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slices of the budget with their documents, without tokens."""
+    return p6_tokens(spark, sf_dir).select("source_name", "language", "domain", "documents", "distinct_documents")
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that the ids of each document decode to, as a hash."""
+    return decode(p8_ids(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.size("offsets").alias("n"), F.length("text").cast("bigint").alias("chars")).drop("n")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_tokens": p6_tokens, "p8_ids": p8_ids}
+QUERIES = {"p6_tokens": p6_tokens, "p6_slices": p6_slices, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+
+_KNOWN = " ".join(f"when lg in ({', '.join(repr(n) for n in names)}) then '{code}'" for code, names in LANGUAGE_NAMES.items())
+SQL = {
+    "p6_slices": rf"""
+        with d as (select source_name, source_type as domain, text, coalesce(text, '') as t, lower(trim(metadata['lang'])) as lg from adapted_document),
+        n as (select *, len(regexp_extract_all(text, '\p{{Han}}')) as han, len(regexp_extract_all(text, '\p{{Latin}}')) as latin from d)
+        select source_name, case {_KNOWN} when han * 9 > latin then 'zh' when latin > 0 then 'en' else 'und' end as language, domain, count(*) as documents, count(distinct md5(t)) as distinct_documents from n group by 1, 2, 3""",
+    "p8_round_trip": "select doc_id, md5(coalesce(text, '')) as h, length(coalesce(text, '')) as chars from documents",
+}
