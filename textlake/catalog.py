@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.operators import audit, dedup, folds, mixture, rules, runs, tokens, vectors
+from textlake.operators import lexicons as L
 from textlake.plans import pipelines
 from textlake.runtime import shared_dir, spread, table
 from textlake.sources import readers
@@ -42,32 +43,116 @@ def _share(cls: str) -> str:
     return f"case when n > 0 then {_chars(cls)}::double / n else 0.0 end"
 
 
-ADAPTED = f"d as (select *, coalesce(text, '') as t from adapted_document), e as (select *, {LEN} as n from d)"
+def _from(source: str) -> str:
+    return f"d as (select *, coalesce(text, '') as t from {source}), e as (select *, {LEN} as n from d)"
+
+
+ADAPTED = _from("adapted_document")
 HAN, LETTERS = r"[\x{4e00}-\x{9fff}]", r"[\x{4e00}-\x{9fff}\p{Latin}]"
-SEO = "免责声明|相关阅读|上一篇|下一篇|网站地图|ICP备案|版权所有|本文链接|未经授权|点击查看|更多相关|为您推荐|相关推荐|原文地址|当前位置[:：]|返回首页|收藏本站"
-#: The rules that plain SQL can state; rule_decisions runs all of them.
-SQL_RULES = tuple(r for r in rules.RULES if r.name in ("too_short", "low_chinese_ratio_hard", "low_chinese_ratio_soft", "broken_encoding", "url", "many_media_filenames", "markup_noise", "repeated_span", "seo_boilerplate_dense", "content_farm_footer", "many_short_docs_structural"))
-KIND = r"""case when k ~ '.*lccc.*' then 'dialogue_short' when regexp_matches(k, 'dialogue|roleplay|game_world_chat|hana') then 'dialogue' when k like '%wiki%' then 'wiki'
-    when k like '%comment%' then 'comment' when regexp_matches(k, 'qa|question|answer|belle|zhihu') then 'qa'
-    when regexp_matches(k, 'general_web_backbone|streamed_general|cci3|wudao|fineweb|skypile|chinesewebtext|webtext') then 'general_web' else 'unknown' end"""
-WINDOWS = f"list_filter(list_transform(range(1, greatest(length(c) - 79, 1), 40), lambda i: c[i:i+79]), lambda x: length(x) >= 60)"
-FLAGS = f"""{ADAPTED},
- k as (select *, lower(coalesce(source_name, '') || ' ' || coalesce(source_type, '')) as k, {COMPACT} as c, {_share(LETTERS)} as r, {_chars(chr(0xFFFD))} as bad from e),
- f as (select *, {KIND} as kind from k),
- g as (select *, list_filter([
-   case when n < case when kind in ('dialogue_short', 'dialogue', 'qa', 'wiki') then 8 else 20 end then 'too_short' end,
-   case when r < 0.15 then 'low_chinese_ratio_hard' end,
-   case when r >= 0.15 and r < 0.35 then 'low_chinese_ratio_soft' end,
-   case when bad >= 20 or bad >= 5 and bad::double / nullif(n, 0) > 0.03 or {_chars(r'\p{Co}')}::double / nullif(n, 0) > 0.03 then 'broken_encoding' end,
-   case when regexp_matches(t, '(?i)https?://|www\\.') then 'url' end,
-   case when len(regexp_extract_all(t, '(?i)\\.(?:jpg|jpeg|png|gif|webp|mp4|avi|mov)(?:[^\\p{{L}}\\p{{N}}_]|$)')) >= 5 then 'many_media_filenames' end,
-   case when len(regexp_extract_all(t, '<[^>\\n]{{1,120}}>')) >= 3 then 'markup_noise' end,
-   case when length(c) >= 240 and len({WINDOWS}) - len(list_distinct({WINDOWS})) >= 2 then 'repeated_span' end,
-   case when kind in ('general_web', 'qa', 'wiki', 'unknown') and len(regexp_extract_all(t, '{SEO}')) >= 3 then 'seo_boilerplate_dense' end,
-   case when kind in ('general_web', 'wiki', 'unknown') and regexp_matches(t, '联盟百科是组织像一个百科全书|联盟百科不受维基媒体基金会|Google Play徽标|隐私政策') then 'content_farm_footer' end,
-   case when len(regexp_extract_all(t, '<\\|doc_sep\\|>')) >= 8 then 'many_short_docs_structural' end], lambda x: x is not null) as flags from f),
- h as (select *, case when len(list_intersect(flags, ['too_short', 'low_chinese_ratio_hard', 'many_short_docs_structural'])) > 0 then 'drop'
-   when len(list_intersect(flags, ['broken_encoding', 'many_media_filenames', 'markup_noise', 'repeated_span', 'seo_boilerplate_dense', 'content_farm_footer'])) > 0 then 'quarantine' else 'keep' end as decision from g)"""
+
+
+def _kind_sql() -> str:
+    cases = " ".join(f"when regexp_matches(k, '{'|'.join(marks)}') then '{kind}'" for kind, marks in L.SOURCE_KINDS)
+    return f"case {cases} else 'unknown' end"
+
+
+WINDOWS = "list_filter(list_transform(range(1, greatest(length(c) - 79, 1), 40), lambda i: c[i:i+79]), lambda x: length(x) >= 60)"
+#: A word border as Java's patterns see it, for the one word that needs it.
+_LINE = r"(?:^|[^\p{L}\p{N}_])LINE(?:$|[^\p{L}\p{N}_])"
+
+
+def _re(p: list[str] | str) -> str:
+    return L.any_of(p).replace(r"\bLINE\b", _LINE).replace("'", "''")
+
+
+def _has(p: list[str] | str, of: str = "t", flags: str = "") -> str:
+    return f"regexp_matches({of}, '{flags}{_re(p)}')"
+
+
+def _count(p: list[str] | str, of: str = "t", flags: str = "") -> str:
+    return f"len(regexp_extract_all({of}, '{flags}{_re(p)}'))"
+
+
+def _times(words: list[str]) -> str:
+    return "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + ")"
+
+
+def _kinds(*names: str) -> str:
+    return "kind in (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _among(m: str, words: list[str]) -> str:
+    return f"len(list_intersect({m}, [" + ", ".join(f"'{w}'" for w in words) + "]))"
+
+
+def _rule_tests() -> dict[str, str]:
+    """Every rule of the registry as a condition on the columns of FLAGS."""
+    plain = f"regexp_replace(regexp_replace(t, '{L.RULE_LINE}', ' ', 'g'), '{L.RULE_RUN}', ' ', 'g')"
+    punct = r"\p{P}"
+    topics = " + ".join(f"{_has(w)}::int" for w in L.TOPICS.values())
+    giveaway = f"len(list_filter(range(1, length(t) + 1), lambda i: regexp_matches(t[i:i + 60], '^{_re(L.GIVEAWAY)}') and not regexp_matches(case when i > 1 then t[greatest(i - 13, 1):i - 1] else '' end, '{_re(L.GIVEAWAY_NEGATION)}[^\\n]{{0,11}}$'))) > 0"
+    services = f"(len(business) >= 5 and len(list_distinct(business)) >= 3 or len(business) >= 3 and len(list_distinct(business)) >= 2 and {_has(L.BUSINESS_CUE)})"
+    strong = f"(len(product) >= 7 and len(list_distinct(product)) >= 3 and (direct or {_has(L.PURCHASE_CUE.removeprefix('(?i)'), flags='(?i)')}))"
+    sales = f"(len(product) >= 6 and {_among('product', L.PRODUCT_PROMO)} >= 2 and ({strong} or {_among('product', L.PRODUCT_SALES)} >= 1 and {_has(L.PRODUCT_PAIR)}))"
+    commercial = f"((({_has(L.COMMERCIAL)} or {_has(L.ENROLMENT)}) and not negated) or {services} or {sales})"
+    n = _count(L.DOWNLOAD)
+    download = f"({n} >= 5 or {n} >= 3 and {_has(L.DOWNLOAD_CUE.removeprefix('(?i)'), flags='(?i)')} or {n} >= 3 and {_has('下载|游戏')} and {_count('可以帮助')} >= 4)"
+    call = f"({_has(L.PHONE)} and {_has(L.PHONE_CALL, flags='(?i)')})"
+    weak = f"({_count(L.WEAK_CONTACT)} >= 2 and {_count(L.SEO)} >= 2)"
+    contact = f"(direct or {call} or {_count(L.CONTACT, flags='(?i)')} >= 2 and ({call} or {_has(L.URL.removeprefix('(?i)'), flags='(?i)')}) or {weak})"
+    window = f"regexp_extract(t, '{_re(L.MEDICAL_PROVIDER)}')"
+    provider = f"({window} <> '' and {_has(L.MEDICAL_CUE)} and ({_has(L.MEDICAL_STRONG, window)} or len(list_distinct(regexp_extract_all({window}, '{_re(L.MEDICAL_TERM)}'))) >= 2))"
+    title = f"regexp_extract(t[1:260], '{_re(L.COURT_TITLE)}')"
+    helper = _count(L.HELPER)
+    top = "list_max(map_values(list_histogram(string_split(c, ''))))"
+    kinds = "len(list_distinct(string_split(c, '')))::double / length(c)"
+    return {
+        "too_short": "n < case when kind in ('dialogue_short', 'dialogue', 'qa', 'wiki') then 8 else 20 end",
+        "short_social_dialogue": f"{_kinds('dialogue_short')} and n < 80",
+        "low_chinese_ratio_hard": "r < 0.15",
+        "low_chinese_ratio_soft": "r >= 0.15 and r < 0.35",
+        "broken_encoding": rf"bad >= 20 or bad >= 5 and bad::double / nullif(n, 0) > 0.03 or {_chars(chr(92) + 'p{Co}')}::double / nullif(n, 0) > 0.03",
+        "mojibake_pattern": _has(L.MOJIBAKE),
+        "url": r"regexp_matches(t, '(?i)https?://|www\.')",
+        "dense_social_shortlinks": f"case when {_count(L.SHORT_LINK.removeprefix('(?i)'), flags='(?i)')} < 2 then false else (not (not ({giveaway}) and not {_has(L.SOCIAL_COMMERCE)} and {_count(L.MENTION)} = 0 and {_has(L.PUBLIC_NOTICE)})) and (({giveaway}) or {_has(L.SOCIAL_COMMERCE)} or {_count(L.SHORT_LINK.removeprefix('(?i)'), flags='(?i)')} >= 3 and {_count(L.MENTION)} >= 2 and length(t) < 1200 or {_count(L.SHORT_LINK.removeprefix('(?i)'), flags='(?i)')} >= 5 and length(t) < 800) end",
+        "exam_keyword_stuffing": f"{_kinds('general_web', 'qa', 'unknown')} and ({_has(L.EXAM_TEMPLATE)} or length(q) >= 6 and {_has(L.EXAM_MARKS)} and (length(c) - length(replace(c, q, ''))) // nullif(length(q), 0) >= 3)",
+        "many_media_filenames": r"len(regexp_extract_all(t, '(?i)\.(?:jpg|jpeg|png|gif|webp|mp4|avi|mov)(?:[^\p{L}\p{N}_]|$)')) >= 5",
+        "markup_noise": r"len(regexp_extract_all(t, '<[^>\n]{1,120}>')) >= 3",
+        "long_repeated_char": "len(list_filter(range(1, len(l) - 8), lambda i: l[i] <> chr(10) and len(list_distinct(l[i:i + 9])) = 1)) > 0",
+        "repeated_span": f"length(c) >= 240 and len({WINDOWS}) - len(list_distinct({WINDOWS})) >= 2",
+        "low_char_diversity": f"case when length(c) < 500 then false when {kinds} < 0.03 then true else {kinds} < 0.05 and {top}::double / length(c) > 0.18 end",
+        "gambling_spam": _has(L.GAMBLING),
+        "mixed_topic_soup": f"{_kinds('general_web')} and contains(k, 'cci3') and length(t) >= 700 and ({topics}) >= 5 and ({_count('[。！？!?]')} >= 8 or {_count('[，,]')} >= 30)",
+        "ad_contact_template": f"(({_has(L.PROMO_CONTEXT, flags='(?i)')} and not negated) or {commercial} or {download}) and {contact}",
+        "seo_boilerplate_dense": f"{_kinds('general_web', 'qa', 'wiki', 'unknown')} and {_count(L.SEO)} >= 3",
+        "commercial_promo_template": f"{_kinds('general_web', 'qa', 'comment', 'unknown')} and {commercial}",
+        "medical_promo_template": f"{_kinds('general_web', 'unknown')} and not {_has(L.MEDICAL_NEGATED)} and ({provider} or {_has(L.MEDICAL_PRODUCT)} or {_has(L.MEDICAL_SERVICE)})",
+        "download_site_template": f"{_kinds('general_web', 'unknown')} and {download}",
+        "cracked_software_template": f"{_kinds('general_web', 'qa', 'unknown')} and {_has(L.CRACKED)} and not {_has(L.CRACKED_NEGATED)}",
+        "content_farm_footer": f"{_kinds('general_web', 'wiki', 'unknown')} and {_has(L.FARM_FOOTER)}",
+        "machine_translation_phrase_repetition": f"{_kinds('general_web', 'qa', 'wiki', 'unknown')} and {helper} >= 14 and {helper} / greatest(length(t) / 1000.0, 1.0) >= 3.0",
+        "legal_template_dense": f"{_kinds('general_web', 'unknown')} and not {_has(L.COURT_NEGATED)} and ({title} <> '' and (contains(t[1:260], '人民法院') or regexp_matches({title}, '民\\s*事|刑\\s*事|行\\s*政')) or {_has(L.COURT_CONTEXT)} and ({_times(L.COURT_MARKS)} >= 3 and {_times(L.COURT_ROLES)} >= 6 or {_count('被告')} >= 5 and {_has('公诉|检察')} or {_count(L.LEGAL_ARTICLE)} >= 16 and {_times(L.COURT_MARKS)} >= 2))",
+        "punctuation_dense": f"n >= 80 and {_chars(punct)}::double / n > 0.35 and not ({_kinds('qa', 'dialogue')} and {_has(L.PUNCT_EXCUSES)}) and (select length(regexp_replace(p, '{WS}+', '', 'g')) >= 80 and {_chars(punct, 'p')}::double / length(regexp_replace(p, '{WS}+', '', 'g')) > 0.35 from (select {plain} as p))",
+        "many_short_docs_structural": r"len(regexp_extract_all(t, '<\|doc_sep\|>')) >= 8",
+    }
+
+
+def _flags(source: str = "adapted_document") -> str:
+    """CTEs that end in h: the rows of source with kind, flags and decision by all rules."""
+    tests = _rule_tests()
+    severity = {r.name: r.severity for r in rules.RULES}
+    named = lambda s: ", ".join(f"'{k}'" for k in tests if severity[k] == s)
+    cases = ",\n   ".join(f"case when {tests[r.name]} then '{r.name}' end" for r in rules.RULES)
+    question = r"regexp_extract(t, '^(?:.{4,40}?[？?。]|.{4,40}?（）)')"
+    return f"""{_from(source)},
+ k as (select *, lower(coalesce(source_name, '') || ' ' || coalesce(source_type, '')) as k, {COMPACT} as c, {_share(LETTERS)} as r, {_chars(chr(0xFFFD))} as bad, string_split(t, '') as l, regexp_replace({question}, '{WS}+', '', 'g') as q,
+   regexp_extract_all(t, '{_re(L.BUSINESS)}') as business, regexp_extract_all(t, '{_re(L.PRODUCT)}') as product, {_has(L.DIRECT_CONTACT, flags='(?i)')} as direct, {_has(L.PROMO_NEGATED)} as negated from e),
+ f as (select *, {_kind_sql()} as kind from k),
+ g as (select *, list_filter([{cases}], lambda x: x is not null) as flags from f),
+ h as (select *, case when len(list_intersect(flags, [{named('drop')}])) > 0 then 'drop' when len(list_intersect(flags, [{named('quarantine')}])) > 0 then 'quarantine' else 'keep' end as decision from g)"""
+
+
+FLAGS = _flags()
 
 
 def adapted(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +160,7 @@ def adapted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.classify(spread(adapted(spark, sf)), profile=rules.MIXED, rules=SQL_RULES)
+    return rules.classify(spread(adapted(spark, sf)), profile=rules.MIXED)
 
 
 # Statistics and text.
@@ -109,9 +194,15 @@ def normalized_training_text(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(t).alias("h"), F.length(t).cast("bigint").alias("n"))
 
 
-@query()
+def _clean(t: str) -> str:
+    x = rf"regexp_replace(nfc_normalize({t}), '\r\n?', chr(10), 'g')"
+    for p, r in ((r"(?:\$\s*P\s*\$)+", "chr(10)"), (r"(?i)<br\s*/?>", "chr(10)"), (r"[\x{200b}\x{200c}\x{200d}\x{feff}]", "''"), (r"[\x{01}-\x{08}\x{0b}-\x{1f}\x{7f}-\x{9f}\p{Cf}\p{Co}]", "''")):
+        x = f"regexp_replace({x}, '{p}', {r}, 'g')"
+    return _training(x)
+
+
+@query(f"select doc_id, sha1({_clean("coalesce(text, '')")}) as h from documents")
 def normalized_clean_text(spark, sf):
-    """Normal form C and invisible characters need more than SQL's expressions; tests hold it against a plain version."""
     return table(spark, sf, "documents").select("doc_id", F.sha1(T.normalize_clean(F.col("text"))).alias("h"))
 
 
@@ -236,13 +327,14 @@ def clean_decision_summary(spark, sf):
     return audit.clean_totals(dedup.mark_duplicates(d, key, F.col("row_id")), "source_type")
 
 
-@query()
+@query(f"with {FLAGS} select row_id, unnest(flags) as flag, decision from h")
 def rule_decisions(spark, sf):
-    """All 27 rules; look-behind, back-references and folds are beyond the check's SQL. Tests hold them against golden cases."""
-    return rules.classify(spread(adapted(spark, sf)), profile=rules.MIXED).select("row_id", "source_kind", F.array_join("flags", ",").alias("flags"), "decision")
+    """One row for each rule that a document breaks."""
+    return _decided(spark, sf).select("row_id", F.explode("flags").alias("flag"), "decision")
 
 
-@query()
+@query(f"""with c as (select * replace ({_clean("coalesce(text, '')")} as text) from adapted_document), {_flags("c")}
+    select row_id, decision, decision = 'keep' and row_number() over (partition by case when decision = 'keep' then {COMPACT} else '#' || row_id end order by row_id) > 1 as is_duplicate, sha1(text) as h from h""")
 def cleaned_documents(spark, sf):
     """The whole cleaning pipeline with all rules."""
     d = pipelines.clean(adapted(spark, sf), "row_id", profile=rules.MIXED)

@@ -175,8 +175,8 @@ def _broken_encoding(f: Facts) -> Column:
 def _social_links(f: Facts) -> Column:
     links, mentions, n = f.count(L.SHORT_LINK), f.count(L.MENTION), F.length(f.text)
     # A giveaway counts unless a negation stands in the twelve characters before it.
-    giveaway = f.has(rf"(?<!{any_of(L.GIVEAWAY_NEGATION)}[^\n]{{0,11}}){any_of(L.GIVEAWAY)}")
-    commerce = f.has(any_of(L.SOCIAL_COMMERCE))
+    giveaway = f.has(rf"(?d)(?<!{any_of(L.GIVEAWAY_NEGATION)}[^\n]{{0,11}}){any_of(L.GIVEAWAY)}")
+    commerce = f.has("(?d)" + any_of(L.SOCIAL_COMMERCE))
     notice = ~giveaway & ~commerce & (mentions == 0) & f.has(any_of(L.PUBLIC_NOTICE))
     dense = giveaway | commerce | ((links >= 3) & (mentions >= 2) & (n < 1200)) | ((links >= 5) & (n < 800))
     return (links >= 2) & ~notice & dense
