@@ -85,6 +85,12 @@ def _among(m: str, words: list[str]) -> str:
     return f"len(list_intersect({m}, [" + ", ".join(f"'{w}'" for w in words) + "]))"
 
 
+def _runs(n: int) -> str:
+    """Whether one character other than a line feed stands n times in a row; l holds the characters. Few places pass the first test."""
+    ends = f"list_filter(range(1, len(l) - {n - 2}), lambda i: l[i] = l[i + 1] and l[i] = l[i + {n - 1}])"
+    return f"len(list_filter({ends}, lambda i: l[i] <> chr(10) and len(list_distinct(l[i:i + {n - 1}])) = 1)) > 0"
+
+
 def _rule_tests() -> dict[str, str]:
     """Every rule of the registry as a condition on the columns of FLAGS."""
     plain = f"regexp_replace(regexp_replace(t, '{L.RULE_LINE}', ' ', 'g'), '{L.RULE_RUN}', ' ', 'g')"
@@ -118,7 +124,7 @@ def _rule_tests() -> dict[str, str]:
         "exam_keyword_stuffing": f"{_kinds('general_web', 'qa', 'unknown')} and ({_has(L.EXAM_TEMPLATE)} or length(q) >= 6 and {_has(L.EXAM_MARKS)} and (length(c) - length(replace(c, q, ''))) // nullif(length(q), 0) >= 3)",
         "many_media_filenames": r"len(regexp_extract_all(t, '(?i)\.(?:jpg|jpeg|png|gif|webp|mp4|avi|mov)(?:[^\p{L}\p{N}_]|$)')) >= 5",
         "markup_noise": r"len(regexp_extract_all(t, '<[^>\n]{1,120}>')) >= 3",
-        "long_repeated_char": "len(list_filter(range(1, len(l) - 8), lambda i: l[i] <> chr(10) and len(list_distinct(l[i:i + 9])) = 1)) > 0",
+        "long_repeated_char": _runs(10),
         "repeated_span": f"length(c) >= 240 and len({WINDOWS}) - len(list_distinct({WINDOWS})) >= 2",
         "low_char_diversity": f"case when length(c) < 500 then false when {kinds} < 0.03 then true else {kinds} < 0.05 and {top}::double / length(c) > 0.18 end",
         "gambling_spam": _has(L.GAMBLING),
@@ -211,10 +217,68 @@ def composed_text(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", (T.nfc(F.col("text")) == F.col("text")).alias("composed"), F.length(T.nfc(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query()
+_trim = lambda c: rf"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _subs(x: str, *pairs: tuple[str, str]) -> str:
+    for p, r in pairs:
+        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
+    return x
+
+
+_B = r"[\t \x{a0}\x{3000}]+"
+_HAN2 = r"\x{3400}-\x{9fff}"
+#: A pattern between two characters is replaced twice where matches may share a character.
+_EMPHASIS = (rf"([~～…!！?？]){_B}([~～…!！?？])", r"\1\2")
+
+
+def _repair(x: str) -> str:
+    x = _subs(x, (_B + r"([，。！？；：、,.!?;:~～…）】》])", r"\1"), (rf"([，。！？；：、]){_B}([{_HAN2}A-Za-z0-9~～…])", r"\1\2"), (rf"([,.!?;:]){_B}([{_HAN2}])", r"\1\2"), _EMPHASIS, _EMPHASIS, (r"[ ]{2,}", " "))
+    return _trim(x)
+
+
+def _corpus_sql(x: str) -> str:
+    b, cjk = r"[ \t]+", T.CJK
+    x = _subs(f"regexp_replace(nfc_normalize({x}), '\\r\\n?', chr(10), 'g')", (r"[ \t\f\x{0b}]+", " "), (b + r"([，。！？；：、,.!?;:])", r"\1"), (rf"([，。！？；：、]){b}([{cjk}A-Za-z0-9“‘\"（(《])", r"\1\2"))
+    for p in (rf"([{cjk}])([,.!?;:]){b}([{cjk}])", rf"([{cjk}])(){b}([{cjk}A-Za-z0-9])", rf"([A-Za-z0-9])(){b}([{cjk}])", rf"([…⋯])(){b}([…⋯])", rf"([·・])(){b}([·・])"):
+        x = _subs(x, (p, r"\1\2\3"), (p, r"\1\2\3"))
+    return _trim(f"regexp_replace({_subs(x, (r'[ ' + chr(92) + 't]{2,}', ' '))}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _lines(x: str) -> str:
+    return rf"regexp_split_to_array({x}, '\r\n|\r|\n')"
+
+
+def _chat_sql(x: str) -> str:
+    both = lambda p: ((p, r"\1\2"), (p, r"\1\2"))
+    one = _trim(_subs(_repair(_trim("x")), *both(rf"([{_HAN2}]){WS}+([{_HAN2}A-Za-z0-9])"), *both(rf"([A-Za-z0-9]){WS}+([{_HAN2}])")))
+    return _trim(f"array_to_string(list_transform({_lines(x)}, lambda x: {one}), chr(10))")
+
+
+def _wiki_sql(x: str) -> str:
+    s = r"[\s\x{0b}]"
+    x = _subs(x, (r"(?s)\{\|.*?\|\}", " "), (r"\{\{[^{}]{0,600}\}\}", " "), (r"(?i)\[\[(?:分类|Category|文件|File|Image|图片):[^\]]+\]\]", " "), (r"\[\[([^|\]]+)\|([^\]]+)\]\]", r"\2"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\[https?://[^\]\s\x{0b}]+(?:[\s\x{0b}]+([^\]]+))?\]", r"\1"), (r"''{2,}", ""))
+    x = f"regexp_replace({x}, '==+[ \\t]*(.*?)[ \\t]*==+', chr(10) || '\\1' || chr(10), 'g')"
+    x = _subs(x, (r"(?s)<ref[^>]*>.*?</ref>", " "), (r"<[^>]+>", " "))
+    one = _trim(_subs(_trim("x"), (r"\{\{[^{}\n]*(?:\}\})?", " "), (rf"{s}{{2,}}", " ")))
+    keep = rf"length(x) > 0 and not regexp_matches(x, '^(?:\{{\{{|\}}\}})') and not regexp_matches(x, '(?i)\d{{2,4}}px\||thumb|缩略图|外部链接|参考资料|注释|导航|相关条目') and not regexp_matches(x, '(?i)^\[?{s}*(?:链接|link){s}*\]?$') and not (x[1:1] = '[' and length(x) < 40) and not (regexp_matches(x, '^[*#|!;:]') and length(x) < 80)"
+    return _trim(f"regexp_replace(array_to_string(list_filter(list_transform({_lines(x)}, lambda x: {one}), lambda x: {keep}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(f"select doc_id, sha1({_corpus_sql('text')}) as corpus, sha1({_chat_sql('text')}) as chat from documents where text is not null")
 def corpus_spacing(spark, sf):
-    """Look-around has no equal in the check's regular expressions."""
-    return table(spark, sf, "documents").select("doc_id", F.length(T.normalize_corpus(F.col("text"))).alias("n"), F.length(T.repair_chat(F.col("text"))).alias("chat"), F.length(T.clean_wiki(F.col("text"))).alias("wiki"), F.length(T.normalize_wide(F.col("text"))).alias("wide"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(T.normalize_corpus(F.col("text"))).alias("corpus"), F.sha1(T.repair_chat(F.col("text"))).alias("chat"))
+
+
+@query(f"select doc_id, sha1({_wiki_sql('text')}) as h from documents where text is not null")
+def wiki_text(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(T.clean_wiki(F.col("text"))).alias("h"))
+
+
+@query()
+def wide_text(spark, sf):
+    """Normal form KC has no equal in the check's SQL."""
+    return table(spark, sf, "documents").select("doc_id", F.length(T.normalize_wide(F.col("text"))).alias("wide"))
 
 
 @query("""with t as (select dialogue_id, list_transform(coalesce(dialog, []), lambda x, i: case when trim(coalesce(x, ''), ' \t\n\r　') = '' then null
@@ -224,9 +288,6 @@ def dialogue_text(spark, sf):
     return table(spark, sf, "dialogue_row").select("dialogue_id", T.dialogue(F.col("dialog")).alias("text"))
 
 
-_trim = lambda c: rf"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
-
-
 @query(rf"""with p as (select *, '指令：' || coalesce(instruction, '') || case when length(input) > 0 then chr(10) || '输入：' || input else '' end as a, '回答：' || coalesce(output, '') as b from instruction_row)
     select instruction_id, {_trim('a')} || chr(10) || {_trim('b')} as text from p""")
 def instruction_text(spark, sf):
@@ -266,14 +327,26 @@ def repetition(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.round(T.repeated_char_ratio(t), 9).alias("repeated_char"), F.round(T.repeated_ngram_ratio(t), 9).alias("repeated_ngram"))
 
 
-@query()
+@query(rf"""with recursive a as (select doc_id, regexp_split_to_array(text, '\r\n|\r|\n') as l from documents where text is not null),
+    f as (select doc_id, l, 1::bigint as i, []::varchar[] as done, []::varchar[] as open, 0::bigint as chars from a union all
+      select doc_id, l, i + 1, case when flush then list_append(done, array_to_string(open, chr(10))) else done end, case when blank then []::varchar[] else list_append(case when flush then []::varchar[] else open end, line) end, case when blank then 0 else length(line) + case when flush then 0 else chars end end
+      from (select *, length(line) = 0 as blank, len(open) > 0 and (length(line) = 0 or chars + length(line) > 400) as flush from (select *, regexp_replace(l[i], '[\s\x{{0b}}]+$', '') as line from f where i <= len(l)))),
+    z as (select doc_id, list_filter(list_transform(case when len(open) > 0 then list_append(done, array_to_string(open, chr(10))) else done end, lambda x: {_trim('x')}), lambda x: length(x) > 0) as c from f where i = len(l) + 1),
+    g as (select doc_id, c, 1::bigint as i, []::varchar[] as done, []::varchar[] as open from z union all
+      select doc_id, c, i + 1, case when length(c[i]) >= 50 then list_append(case when len(open) > 0 then list_append(done, array_to_string(open, chr(10))) else done end, c[i]) else done end, case when length(c[i]) >= 50 then []::varchar[] else list_append(open, c[i]) end from g where i <= len(c)),
+    y as (select doc_id, case when len(open) > 0 then list_append(done, array_to_string(open, chr(10))) else done end as d from g where i = len(c) + 1)
+    select doc_id, (generate_subscripts(d, 1) - 1)::int as n, unnest(d) as chunk from y""")
 def text_chunks(spark, sf):
     """A fold over lines."""
     c = folds.chunk_text(F.col("text"), 400)
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(folds.merge_short_chunks(c)).alias("n", "chunk"))
 
 
-@query()
+@query("""with recursive a as (select dialogue_id, list_filter(dialog, lambda x: x is not null) as l from dialogue_row), f as (select dialogue_id, l, 1::bigint as i, []::varchar[] as done, []::varchar[] as open, 0::bigint as chars from a union all
+    select dialogue_id, l, i + 1, case when shut then list_append(done, array_to_string(lines, chr(10))) else done end, case when shut then []::varchar[] else lines end, case when shut then 0 else n end
+      from (select *, len(lines) >= 3 or n >= 120 as shut from (select *, list_append(open, l[i][1:60]) as lines, chars + length(l[i]) as n from f where i <= len(l)))),
+    z as (select dialogue_id, case when len(open) > 0 then list_append(done, array_to_string(open, chr(10))) else done end as d from f where i = len(l) + 1)
+    select dialogue_id, (generate_subscripts(d, 1) - 1)::int as n, unnest(d) as text from z""")
 def grouped_turns(spark, sf):
     """A fold over turns."""
     return table(spark, sf, "dialogue_row").select("dialogue_id", F.posexplode(folds.group_short(F.col("dialog"), 3, 120, 60)).alias("n", "text"))
@@ -341,7 +414,26 @@ def cleaned_documents(spark, sf):
     return d.select("row_id", "decision", "is_duplicate", F.sha1("text").alias("h"))
 
 
-@query()
+_SPANS = f"list_filter(list_transform(range(1, greatest(length(t) - 79, 1), 40), lambda i: regexp_replace(t[i:i + 79], '{WS}+', '', 'g')), lambda x: length(x) >= 50)"
+_TWICE = f"length(t) >= 240 and len({_SPANS}) - len(list_distinct({_SPANS})) >= 1"
+_MEDIA5 = r"len(regexp_extract_all(t, '(?i)\.(?:jpg|jpeg|png|gif|webp)(?:[^\p{L}\p{N}_]|$)')) >= 5"
+_NEWS = rules.NEWS_WIRE.removeprefix("(?d)")
+_NOISE = {
+    "too_short": "length(t) < 10", "low_chinese_ratio": f"({_share(LETTERS)}) < 0.2", "url": r"regexp_matches(t, 'https?://|www\.')", "web_boilerplate": "regexp_matches(t, '版权所有|ICP备案|责任编辑|网站地图|联系我们')", "news_wire_style": f"regexp_matches(t, '{_NEWS}')",
+    "legal_template": f"regexp_matches(t, '{L.LEGAL_ARTICLE}') and regexp_matches(t, '{rules.LAW_CONTEXT}')", "seo_boilerplate": "regexp_matches(t, '免责声明|相关阅读|点击查看|更多相关|本文链接|未经授权')", "markup_noise": r"regexp_matches(t, '<[^>]{1,80}>|\{\||\|\}|class=|style=')",
+    "many_media_filenames": _MEDIA5, "repeated_char": _runs(9), "repeated_span": _TWICE, "replacement_char": "contains(t, chr(65533))",
+}
+_AUDIT = {k: _NOISE[k] for k in ("replacement_char", "url", "news_wire_style")} | {
+    "punctuation_space": rf"regexp_matches(t, '[，。！？；：、,.!?;:]{WS}+[\x{{3400}}-\x{{9fff}}A-Za-z0-9~～…]')", "many_media_filenames": _MEDIA5, "long_repeated_char": _runs(11), "repeated_span": _TWICE,
+}
+
+
+def _listed(tests: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"case when {t} then '{k}' end" for k, t in tests.items()) + "], lambda x: x is not null)"
+
+
+@query(f"""with {ADAPTED}, m as (select *, string_split(t, '') as l from e), f as (select row_id, {_listed(_NOISE)} as flags, {_listed(_AUDIT)} as audit, {_listed({"below_min_chars": "length(t) < 20", "low_chinese_ratio_hard_drop": f"({_share(LETTERS)}) < 0.15"})} as extra from m)
+    select row_id, array_to_string(flags, ',') as flags, array_to_string(audit, ',') as audit, not list_has_any(flags || extra, [{", ".join(f"'{x}'" for x in rules.HARD_DROP)}]) as keep from f""")
 def noise_flags(spark, sf):
     return adapted(spark, sf).select("row_id", F.array_join(rules.noise_flags(F.col("text"), rules.MIXED.script), ",").alias("flags"), F.array_join(rules.audit_flags(F.col("text")), ",").alias("audit"), rules.should_keep(F.col("text"), 20, rules.MIXED.script).alias("keep"))
 
@@ -351,12 +443,11 @@ def length_ratio_filter(spark, sf):
     return adapted(spark, sf).select("row_id", rules.length_ratio_reason(F.coalesce("text", F.lit("")), 80, 2600, 0.3, script=rules.MIXED.script).alias("reason"))
 
 
-@query(rf"""with l as (select unnest(string_split(text, chr(10))) as s from documents where text is not null), m as (select {_trim('s')} as t from l), e as (select *, {LEN} as n from m)
-    select case when length(t) = 0 then 'empty' when length(t) < 5 then 'too_short' when length(t) > 400 then 'too_long' when {_share(LETTERS)} < 0.3 then 'low_ratio' else 'kept' end as reason, count(*) as lines from e group by 1""")
+@query(rf"""with l0 as (select unnest(string_split(text, chr(10))) as s from documents where text is not null), m as (select {_trim('s')} as t from l0), e as (select *, {LEN} as n, string_split(t, '') as l from m)
+    select case when length(t) = 0 then 'empty' when length(t) < 5 then 'too_short' when length(t) > 400 then 'too_long' when {_share(LETTERS)} < 0.3 then 'low_ratio' when {_runs(10)} then 'repetitive' else 'kept' end as reason, count(*) as lines from e group by 1""")
 def line_reject_counts(spark, sf):
-    """The reasons that SQL can state; rules.line_reason has the repetition test besides."""
     lines = table(spark, sf, "documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("s")).select(T.strip(F.col("s")).alias("t"))
-    r = F.coalesce(F.nullif(rules.line_reason(F.col("t"), script=rules.MIXED.script), F.lit("repetitive")), F.lit("kept"))
+    r = F.coalesce(rules.line_reason(F.col("t"), script=rules.MIXED.script), F.lit("kept"))
     return lines.select(r.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -373,7 +464,13 @@ def document_category(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rules.category(F.coalesce("text", F.lit(""))).alias("category"))
 
 
-@query()
+_SPLIT = f"list_filter(list_transform({_lines('t')}, lambda x: {_trim('x')}), lambda x: length(x) > 0)"
+
+
+@query(f"""with d as (select doc_id, coalesce(text, '') as t from documents), a as (select doc_id, {_category_sql()} as category, {_repair('t')} as t from d), b as (select *, category in ('natural_web', 'natural_dialogish') as nat, {_SPLIT} as l from a),
+    c as (select *, list_filter(l, lambda x: not regexp_matches(x, '{rules.SEO_LINE}')) as k from b), g as (select *, case when nat then array_to_string(k, chr(10)) else t end as g, case when nat then len(l) - len(k) else 0 end as removed_lines from c),
+    r as (select *, case when regexp_matches(t, '{rules.DAMAGED}') then 'encoding_damaged' when nat and length(g) < 80 then 'seo_empty' when nat and regexp_matches(g, '{rules.FORMAL_DOC}') then 'formal' when regexp_matches(g, '{rules.SPACED_RUN}') then 'cjk_spaced' when regexp_matches(g, '{rules.RESIDUE}') then 'structured_residue' end as gate_reason from g)
+    select doc_id, category, gate_reason, removed_lines::int as removed_lines, case when gate_reason is null then length(g) end::int as n from r""")
 def quality_gate(spark, sf):
     d = table(spark, sf, "documents").withColumn("category", rules.category(F.coalesce("text", F.lit(""))))
     return rules.quality_gate(d).select("doc_id", "category", "gate_reason", "removed_lines", F.length("gated").alias("n"))
@@ -477,13 +574,17 @@ def actual_against_target(spark, sf):
     return mixture.actual_against_target(a, t, "source_type")
 
 
-@query()
+@query(f"""with recursive a as (select row_id, source_type, coalesce(length(text), 0) as n, {_case(QUOTAS, 'source_type')} as cap from adapted_document), b as (select *, row_number() over (partition by source_type order by row_id) as i from a where cap is not null),
+    f as (select source_type, row_id, i, n <= cap as keep, case when n <= cap then cap - n else cap end as rest from b where i = 1 union all select b.source_type, b.row_id, b.i, b.n <= f.rest, case when b.n <= f.rest then f.rest - b.n else f.rest end from f join b on b.source_type = f.source_type and b.i = f.i + 1)
+    select row_id, source_type from f where keep union all select row_id, source_type from a where cap is null""")
 def strict_cap(spark, sf):
     """A fold: a row that does not fit is skipped and a later one may fit."""
     return folds.strict_cap(adapted(spark, sf).withColumn("n", text_length()), "source_type", "row_id", "n", QUOTAS).select("row_id", "source_type")
 
 
-@query()
+@query("""with recursive a as (select row_id, coalesce(length(text), 0) as n, coalesce(source_type = 'wiki', false) as w from adapted_document), o as (select *, coalesce(sum(case when w then 0 else n end) over (order by row_id rows between unbounded preceding and 1 preceding), 0) as others from a),
+    b as (select *, row_number() over (order by row_id) as i from o where w), f as (select row_id, i, true as keep, n::bigint as kept from b where i = 1 union all select b.row_id, b.i, f.kept / greatest(b.others, 1) < 0.05, f.kept + case when f.kept / greatest(b.others, 1) < 0.05 then b.n else 0 end from f join b on b.i = f.i + 1)
+    select row_id, keep from f union all select row_id, true from a where not w""")
 def evolving_share(spark, sf):
     """A fold: the share is that of the moment."""
     return folds.evolving_share(adapted(spark, sf).withColumn("n", text_length()), "row_id", "n", F.coalesce(F.col("source_type") == "wiki", F.lit(False)), 0.05).select("row_id", "keep")
@@ -497,7 +598,13 @@ def hash_split(spark, sf):
     return mixture.split_by_hash(d, F.sha1("text"), "doc_id", "n", 20_000, 1_000_000).groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
 
 
-@query()
+@query(f"""with recursive a as (select row_id, source_type as c, coalesce(length(text), 0)::bigint as n, (('0x' || substr(sha1(coalesce(text, '')), 1, 16))::uhugeint::double / 18446744073709551615.0) < 0.1 as hit, {_case(QUOTAS, 'source_type')}::bigint as quota from adapted_document where source_type is not null),
+    b as (select *, row_number() over (order by row_id) as i from a),
+    f as (select 0::bigint as i, 0::bigint as row_id, '' as split, 0::bigint as written, 0::bigint as train, 0::bigint as val, map([''], [0::bigint]) as used union all
+      select i, row_id, split, greatest(w, 0), train + case when split = 'train' then greatest(w, 0) else 0 end, val + case when split = 'val' then greatest(w, 0) else 0 end, case when quota is not null then map_concat(used, map([c], [coalesce(used[c], 0) + greatest(w, 0)])) else used end from (
+        select *, least(m, case when split = 'val' then 20000 - val else 200000 - train end) as w from (
+          select b.i, b.row_id, b.c, b.quota, case when b.hit and f.val < 20000 then 'val' else 'train' end as split, f.train, f.val, f.used, case when b.quota is not null then least(b.n, b.quota - coalesce(f.used[b.c], 0)) else b.n end as m from f join b on b.i = f.i + 1)))
+    select row_id, split, written from f where written > 0""")
 def exact_shard_decisions(spark, sf):
     """Quotas and split limits at once: one ordered fold over narrow rows."""
     d = adapted(spark, sf).where("source_type is not null").select("row_id", "source_type", text_length().alias("n"), (T.unit_hash(F.sha1(F.coalesce("text", F.lit("")))) < 0.1).alias("hit"))
@@ -537,7 +644,7 @@ def sample_per_type(spark, sf):
     return audit.sample_per_group(adapted(spark, sf), "source_type", "row_id", 12, 7).select("source_type", "row_id")
 
 
-@query()
+@query("select row_id, (row_number() over (order by ('0x' || substr(md5('3' || ':' || row_id), 1, 15))::bigint, row_id) - 1)::bigint as position from adapted_document")
 def shuffled_rows(spark, sf):
     return audit.shuffled(adapted(spark, sf).select("row_id"), "row_id", 3)
 
@@ -556,7 +663,11 @@ def field_usage(spark, sf):
     return audit.field_usage(table(spark, sf, "instruction_row"), f)
 
 
-@query()
+@query(r"""with d as (select coalesce(instruction, '') as p, coalesce(instruction, '') || coalesce(output, '') as g, coalesce(output, '') as c from instruction_row)
+    select count(*) as n, round(avg(length(c)), 4) as mean_length, count(*) filter (trim(c, ' ' || chr(9) || chr(10) || chr(13) || chr(12288)) = '') as empty,
+    round(avg(case when length(c) > 1 then len(list_filter(range(1, length(c)), lambda i: c[i] = c[i + 1]))::double / (length(c) - 1) else 0.0 end), 6) as repeated_char,
+    round(avg(case when length(c) > 2 then 1.0 - len(list_distinct(list_transform(range(1, length(c) - 1), lambda i: c[i:i+2])))::double / (length(c) - 2) else 0.0 end), 6) as repeated_ngram,
+    count(*) filter (contains(g, '<unk>') or contains(g, chr(65533)) or contains(g, '<|')) as bad_markers from d""")
 def answer_metrics(spark, sf):
     d = table(spark, sf, "instruction_row").select(F.coalesce("instruction", F.lit("")).alias("p"), F.concat(F.coalesce("instruction", F.lit("")), F.coalesce("output", F.lit(""))).alias("g"))
     return audit.eval_metrics(d, "p", "g")
@@ -653,7 +764,9 @@ def next_token_pairs(spark, sf):
     return tokens.next_token_pairs(d, "ids", 16).select("doc_id", "block", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
-@query()
+@query(f"""with {_LATEST}, b as (select *, coalesce(tokens, 0) as n, coalesce(sum(coalesce(tokens, 0)) over (partition by split order by shard_index rows between unbounded preceding and 1 preceding), 0) as before from s), t as (select split, sum(n) as t from b where n > 0 group by 1),
+    d as (select split, sample, ('0x' || substr(md5('9' || ':' || split || ':' || sample), 1, 15))::bigint % t as pos from (select *, unnest(range(0, 20)) as sample from t))
+    select d.split, sample::int as sample, shard_index, least(pos - before, greatest(n - 128, 0))::bigint as first_token, least(n, 128)::bigint as taken from d join b on b.split = d.split and n > 0 and pos >= before and pos < before + n""")
 def weighted_windows(spark, sf):
     """Draws are hashes."""
     return tokens.weighted_windows(tokens.latest_shards(table(spark, sf, "shard")), 20, 128, 9)
@@ -665,12 +778,13 @@ def round_trips(spark, sf):
     return tokens.round_trips(d, tokens.char_vocabulary(d))
 
 
-@query()
+@query("select doc_id, (row_number() over (order by ('0x' || substr(md5('5' || ':' || '2' || ':' || doc_id), 1, 15))::bigint, doc_id) - 1)::bigint as rank from documents")
 def epoch_order(spark, sf):
     return tokens.epoch_order(table(spark, sf, "documents").select("doc_id"), "doc_id", 5, 2)
 
 
-@query()
+@query(f"""with w as (select doc_id, {WORDS} as l from documents), r as (select *, unnest([0, 1]) as i from w where len(l) > 16), a as (select *, ('0x' || substr(md5('11' || ':' || i || ':' || array_to_string(l, ' ')), 1, 15))::bigint % (len(l) - 16) + 1 as pos from r)
+    select doc_id, array_to_string(l[pos:pos + 15], ' ') as x, array_to_string(l[pos + 1:pos + 16], ' ') as y from a""")
 def random_windows(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", tokens.words(F.col("text")).alias("ids"))
     return tokens.random_windows(d, "ids", 16, 2, 11).select("doc_id", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
@@ -688,12 +802,14 @@ def bpe_merges(spark, sf):
     return tokens.train_bpe(table(spark, sf, "documents"), "text", 60)
 
 
-@query()
+@query(rf"""select doc_id, list_sum(list_transform(list_filter(string_split(text, chr(10)), lambda x: length({_trim('x')}) > 0), lambda x: len({WORDS.replace('text', 'x')}) + 2))::int as n from documents where text is not null and length({_trim('text')}) > 0
+    union all select doc_id, 0 from documents where text is not null and length({_trim('text')}) = 0""")
 def line_tokens(spark, sf):
     return tokens.line_tokens(table(spark, sf, "documents").where("text is not null"), "doc_id").select("doc_id", F.size("tokens").alias("n"))
 
 
-@query()
+@query(f"""with {_POS}, q as (select *, unnest(range(s // 10000, (s + n - 1) // 10000 + 1)) as shard from p where n > 0)
+    select shard::bigint as shard, sum(least(s + n, (shard + 1) * 10000) - greatest(s, shard * 10000))::bigint as tokens from q group by 1""")
 def written_shards(spark, sf):
     """Writes shards to the shared folder and reads their sizes back."""
     import uuid
@@ -717,7 +833,12 @@ def latest_log(spark, sf):
     return runs.latest_per_step(log(spark, sf)).select("run_id", "step", "log_id", "status_source")
 
 
-@query()
+@query("""with recursive p as (select run_id, lag(run_id) over (order by run_id) as parent_id from (select distinct run_id from training_log where run_id is not null)),
+    up as (select run_id, parent_id as ancestor, 1 as depth from p where parent_id is not null union all select up.run_id, p.parent_id, up.depth + 1 from up join p on p.run_id = up.ancestor where p.parent_id is not null and up.depth < 16),
+    l as (select *, coalesce(status_source = 'heartbeat', false) as hb from training_log where run_id is not null),
+    e as (select run_id, step, log_id, status_source, case when hb then 0 else 1 end as a, 0 as b, -log_id as c from l union all
+      select up.run_id, step, log_id, status_source, case when hb then 3 else 2 end, case when hb then depth else -depth end, case when hb then -log_id else log_id end from l join up on up.ancestor = l.run_id)
+    select run_id, step, log_id, status_source from e where step is not null qualify row_number() over (partition by run_id, step order by a, b, c) = 1 union all select run_id, step, log_id, status_source from l where step is null""")
 def merged_log(spark, sf):
     """Logs of a run with those of the up to 16 runs it came from; the parent of a run is the run before it by name."""
     d = log(spark, sf).where("run_id is not null")
@@ -805,12 +926,25 @@ def _status(spark: SparkSession, sf: str, share: float) -> DataFrame:
     ).withColumns({"state": F.lit("running"), "heartbeat_interval": F.lit(25), "eval_interval": F.lit(250), "checkpoint_interval": F.lit(0), "checkpoint_step": F.lit(None).cast("bigint")})
 
 
-@query()
+def _alerts_sql(share: float) -> str:
+    """The alerts of every run as of a share of the log's time."""
+    tests = {
+        "status_slow": ("warning", "age > 300 and age <= 900"), "status_stale": ("critical", "age > 900"), "heartbeat_missing": ("warning", "hb is null"), "heartbeat_stale": ("critical", "hb > 900"), "train_loss_missing_or_nonfinite": ("critical", f"({FINITE.format('train_loss')}) is null"),
+        "val_loss_nonfinite": ("critical", f"val_loss is not null and ({FINITE.format('val_loss')}) is null"), "learning_rate_missing": ("warning", f"({FINITE.format('learning_rate')}) is null"), "eval_stale_by_step": ("warning", "step - last_eval_step > 500"), "eval_missing": ("warning", "step >= 0 and last_eval_step is null"),
+    }
+    each = " union all ".join(f"select run_id, '{k}' as key, '{s}' as severity from s where {t}" for k, (s, t) in tests.items())
+    return f"""(with t as (select min(epoch_us(logged_at)) / 1e6 as a, max(epoch_us(logged_at)) / 1e6 as b from training_log where run_id is not null), l as (select *, epoch_us(logged_at) / 1e6 as secs, a + {share} * (b - a) as now from training_log, t where run_id is not null and logged_at is not null),
+      s as (select run_id, max(now) - max(secs) as age, max(now) - max(case when status_source = 'heartbeat' then secs end) as hb, max(step) as step, max(case when status_source = 'eval' then step end) as last_eval_step,
+        arg_max_null(train_loss, {{'a': secs, 'b': log_id}}) as train_loss, arg_max_null(val_loss, {{'a': secs, 'b': log_id}}) as val_loss, arg_max_null(learning_rate, {{'a': secs, 'b': log_id}}) as learning_rate from l where secs <= now group by 1) {each})"""
+
+
+@query(f"select * from {_alerts_sql(1.0)}")
 def run_alerts(spark, sf):
     return runs.alerts(_status(spark, sf, 1.0))
 
 
-@query()
+@query(f"""with a as {_alerts_sql(0.5)}, b as {_alerts_sql(1.0)} select run_id, key, 'opened' as change from b where not exists (select 1 from a where a.run_id = b.run_id and a.key = b.key)
+    union all select run_id, key, 'resolved' from a where not exists (select 1 from b where a.run_id = b.run_id and a.key = b.key)""")
 def alert_changes(spark, sf):
     return runs.alert_changes(runs.alerts(_status(spark, sf, 0.5)), runs.alerts(_status(spark, sf, 1.0)))
 
@@ -897,7 +1031,7 @@ def label_ranks(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", vectors.rank_of(F.col("embedding"), F.col("label")).cast("bigint").alias("rank"))
 
 
-@query()
+@query(f"with {_C}, u as (select *, sum(p) over (partition by vec_id order by rank) as s from r), k as (select *, sum(p) over (partition by vec_id) as t from u where s - p < 0.6) select vec_id, token from k where s / t >= ((('0x' || substr(md5('4:' || vec_id), 1, 15))::bigint % 1073741824) + 0.5) / 1073741824.0 qualify row_number() over (partition by vec_id order by rank) = 1")
 def sampled_tokens(spark, sf):
     return vectors.sample_token(table(spark, sf, "embeddings"), "vec_id", "embedding", top_p=0.6, seed=4)
 
@@ -936,7 +1070,8 @@ def _as_folder(spark: SparkSession, sf: str, name: str) -> str:
     return at
 
 
-@query()
+@query(f"""with c as (select doc_id, source as source_name, source_type, {_clean("coalesce(text, '')")} as text from documents), {_flags("c")}
+    select doc_id, sha1({COMPACT}) as dedupe_key from h where decision = 'keep' qualify row_number() over (partition by {COMPACT} order by doc_id) = 1""")
 def streamed_ingest(spark, sf):
     """Documents taken in as a stream and de-duplicated against what the table holds."""
     import uuid

@@ -342,6 +342,11 @@ def unit_hash(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64 - 1))
 
 
+def hash60(*parts: Column | str | int) -> Column:
+    """A number from 0 to 2^60 - 1 that any engine can compute: the first 15 hexadecimal digits of the MD5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.lit(str(p)) if isinstance(p, (int, str)) else p.cast("string") for p in parts)).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 # Formatters.
 
 

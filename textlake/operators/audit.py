@@ -68,7 +68,7 @@ def shuffled(df: DataFrame, key: str, seed: int = 0, out: str = "position") -> D
     """df in a repeatable random order, numbered from 0: positions are running totals over hash ranges, so no task sorts everything."""
     from textlake.operators.mixture import running_total
 
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    d = df.withColumn("_h", T.hash60(seed, F.col(key)))
     return running_total(d, [], "_h", F.lit(1), out, tie=key).drop("_h")
 
 

@@ -180,14 +180,14 @@ def next_token_pairs(df: DataFrame, ids: str, block_size: int) -> DataFrame:
 
 def epoch_order(blocks: DataFrame, block: str, seed: int, epoch: int) -> DataFrame:
     """A repeatable permutation of one epoch: blocks with rank; a cursor is a filter on it."""
-    d = blocks.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(block)))
+    d = blocks.withColumn("_h", T.hash60(seed, epoch, F.col(block)))
     return running_total(d, [], "_h", F.lit(1), "rank", tie=block).drop("_h")
 
 
 def random_windows(df: DataFrame, ids: str, block_size: int, n: int, seed: int) -> DataFrame:
     """n windows of each row, with replacement, at hashed starts: x and y shifted by one."""
     d = df.where(F.size(ids) > block_size).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    at = (F.pmod(F.xxhash64(F.lit(seed), F.col("_i"), F.col(ids)), F.size(ids) - block_size) + 1).cast("int")
+    at = (F.pmod(T.hash60(seed, F.col("_i"), F.array_join(ids, " ")), F.size(ids) - block_size) + 1).cast("int")
     return d.withColumn("_at", at).withColumns({"x": F.slice(ids, F.col("_at"), F.lit(block_size)), "y": F.slice(ids, F.col("_at") + 1, F.lit(block_size))}).drop("_i", "_at")
 
 
@@ -235,7 +235,7 @@ def weighted_windows(shards: DataFrame, n: int, size: int, seed: int) -> DataFra
     d = shard_offsets(shards).withColumn("_n", F.coalesce("tokens", F.lit(0))).where("_n > 0").select(F.col("split").alias("_s"), "shard_index", "before", "_n")
     total = d.groupBy("_s").agg(F.sum("_n").alias("_t"))
     draws = total.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), F.col("_s"), F.col("sample")), F.col("_t"))).select(F.col("_s").alias("split"), "sample", "_at")
+    draws = draws.withColumn("_at", F.pmod(T.hash60(seed, F.col("_s"), F.col("sample")), F.col("_t"))).select(F.col("_s").alias("split"), "sample", "_at")
     j = draws.join(F.broadcast(d), (F.col("split") == F.col("_s")) & (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("_n")))
     first = F.least(F.col("_at") - F.col("before"), F.greatest(F.col("_n") - size, F.lit(0)))
     return j.select("split", "sample", "shard_index", first.alias("first_token"), F.least(F.col("_n"), F.lit(size)).cast("bigint").alias("taken"))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.functions import text as T
+
 FLOOR = 1e-12
 
 
@@ -125,7 +127,7 @@ def sample_token(df: DataFrame, key: str, logits: str, top_k: int | None = None,
     if temperature == 0:
         return candidates(df, key, logits, 1).select(key, "token")
     d = nucleus(df, key, logits, top_p, temperature=temperature) if top_p else candidates(df, key, logits, top_k or 1 << 30, temperature).select(key, "token", "probability")
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = (F.pmod(T.hash60(seed, F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     w = Window.partitionBy(key).orderBy(F.desc("probability"), F.asc("token"))
     total = F.sum("probability").over(Window.partitionBy(key))
     d = d.withColumn("_c", F.sum("probability").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).where(F.col("_c") >= u)
