@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlake.functions.text import hash60
 from textlake.operators.mixture import running_total
 from textlake.runtime import materialize, table
 
 def unit_hash(*cols, seed: int = 0):
-    """A number in (0, 1) from a 64-bit hash."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    """A number in (0, 1) from a 60-bit hash that any engine can compute."""
+    return (hash60(seed, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 60))
 
 
 def quality_weight(text):
@@ -109,8 +110,19 @@ def p3_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_mix": p3_mix, "p3_shares": p3_shares, "p3_budgets": p3_budgets}
 
-#: The shortfall and the totals are plain sums; the sampled rows are not SQL.
+_MIX = r"""r as (select row_id, source_name, coalesce(length(text), 0)::bigint as chars, greatest(length(text), 1)::double as n, length(regexp_replace(text, '[\p{L}\s\x{0b}]', '', 'g'))::double as other,
+        (('0x' || substr(md5('0:' || coalesce(row_id::varchar, '')), 1, 15))::bigint::double + 0.5) / 1152921504606846976.0 as u from adapted_document where source_name in (select source_name from mix_target)),
+    k as (select *, -ln(u) / coalesce(greatest(0.1, 1.0 - 2.0 * greatest(0.0, other / n - 0.15)), 1.0) as key from r),
+    o as (select *, sum(chars) over (partition by source_name order by key, row_id rows unbounded preceding) as running from k),
+    s as (select m.*, coalesce(chars, 0) as chars, coalesce(records, 0) as records from mix_target m left join (select source_name, max(running) as chars, count(*) as records from o group by 1) using (source_name)),
+    b as (select *, sum(chars) over () as total, least(floor(target_share * sum(chars) over ()), max_repeat * chars) as budget from s),
+    e as (select *, case when chars > 0 then floor(budget / chars) else 0 end as epochs from b),
+    x as (select o.row_id, o.source_name, o.chars, (epochs + case when running <= budget - epochs * e.chars and budget > epochs * e.chars then 1 else 0 end)::int as uses from o join e using (source_name))"""
 SQL = {
+    "p3_mix": f"with {_MIX} select row_id, source_name, chars, uses from x where uses > 0",
+    "p3_shares": f"""with {_MIX}, u as (select source_name, sum(chars * uses) as mixed, count(*) as used, max(uses) as most from x where uses > 0 group by 1)
+        select source_name, source_type, target_share, max_repeat, records::bigint as records, chars::bigint as chars, max_repeat * chars >= target_share * total as reachable, coalesce(mixed, 0)::bigint as mixed_chars, coalesce(used, 0)::bigint as records_used,
+        coalesce(most, 0) as most_uses, round(coalesce(coalesce(mixed, 0)::double / nullif((select sum(mixed) from u), 0), 0), 6) as real_share from e left join u using (source_name)""",
     "p3_found": """
         with c as (select source_name, sum(length(text)) chars from adapted_document where source_name in (select source_name from mix_target) group by 1),
         t as (select sum(chars) total from c)
