@@ -12,7 +12,7 @@ def first_wins(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of each key in the given order, with all its columns.
 
     Not a window: the smallest order is found per key by partial aggregation, so a key that a third of the rows share costs one row a partition, and
-    only (key, order) is shuffled to find the winners. The order must be unique within a key; rows of a null order never win. A null key is a
+    only (key, order) is shuffled to find the winners; to the winners the rows come by key and order, so a hot key is spread. The order must be unique within a key; rows of a null order never win. A null key is a
     key like any other.
     """
     d = df.withColumn("_key", key).withColumn("_ord", F.struct(*order))
@@ -22,10 +22,11 @@ def first_wins(df: DataFrame, key: Column, *order: Column) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """df with is_duplicate: false for the first row of each key."""
+    """df with is_duplicate: false for the first row of each key. Rows meet the winners by key and order, so the copies of a text that a third of all
+    rows share are spread over the tasks."""
     d = df.withColumn("_key", key).withColumn("_ord", F.struct(*order))
-    win = d.groupBy("_key").agg(F.min("_ord").alias("_win")).select(F.col("_key").alias("_k"), "_win")
-    return d.join(win, d["_key"].eqNullSafe(win["_k"])).withColumn("is_duplicate", F.col("_ord") != F.col("_win")).drop("_key", "_ord", "_k", "_win")
+    win = d.groupBy("_key").agg(F.min("_ord").alias("_win")).select(F.col("_key").alias("_k"), "_win", F.lit(True).alias("_first"))
+    return d.join(win, d["_key"].eqNullSafe(win["_k"]) & d["_ord"].eqNullSafe(win["_win"]), "left").withColumn("is_duplicate", F.col("_first").isNull()).drop("_key", "_ord", "_k", "_win", "_first")
 
 
 def not_seen(df: DataFrame, seen: DataFrame, key: Column, seen_key: Column) -> DataFrame:

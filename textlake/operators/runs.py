@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.operators.mixture import running_total
+
+#: Parts of a run of which each gives its last rows.
+TAIL_PARTS = 32
+
 
 def finite(c: Column | str) -> Column:
     """A number, or null where it is missing, NaN or infinite."""
@@ -112,8 +117,10 @@ def downsample(log: DataFrame, points: int, by: str = "run_id", order: tuple[str
     """At most `points` rows of each run at even places, the first and the last among them; places are rounded half to even."""
     if points <= 0:
         return log.limit(0)
-    w = Window.partitionBy(by)
-    d = log.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    # Places come from running totals over ranges of the order, so a run that holds a third of all rows is not sorted in one task.
+    n = log.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(by, "_by")
+    d = running_total(log, [by], order[0], F.lit(1), "_i", tie=order[1])
+    d = d.join(n, d[by].eqNullSafe(n["_by"])).drop("_by")
     if points == 1:
         return d.where(F.col("_i") == F.col("_n") - 1).drop("_i", "_n")
     step = (F.col("_n") - 1) / F.lit(points - 1)
@@ -125,8 +132,11 @@ def downsample(log: DataFrame, points: int, by: str = "run_id", order: tuple[str
 
 def tail(log: DataFrame, n: int, by: str = "run_id") -> DataFrame:
     """The last n rows of each run, at most 5000."""
-    w = Window.partitionBy(by).orderBy(F.desc("step"), F.desc("log_id"))
-    return log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= min(n, 5000)).drop("_r")
+    n, last = min(n, 5000), [F.desc("step"), F.desc("log_id")]
+    # First the last n of each of some parts of a run, then of those: no task sorts a whole run.
+    d = log.withColumn("_salt", F.pmod(F.xxhash64("step", "log_id"), F.lit(TAIL_PARTS)))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_salt").orderBy(*last))).where(F.col("_r") <= n)
+    return d.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*last))).where(F.col("_r") <= n).drop("_r", "_salt")
 
 
 def run_summary(log: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from textlake.operators import audit, dedup, mixture, rules, runs, tokens, vecto
 from textlake.runtime import materialize, spread
 
 
+#: Categories of a mixture, and checkpoints that are compared, at most.
+MAX_CATEGORIES, MAX_CHECKPOINTS = 100_000, 4
+
+
 def clean(docs: DataFrame, order: str, text: str = "text", source_name: str = "source_name", source_type: str = "source_type", profile: rules.Profile = rules.ZH) -> DataFrame:
     """docs with normalised text, source_kind, flags, decision and is_duplicate (of kept texts, by compact key, first in order wins)."""
     # Some five hundred expressions of the rules read the normalised text, so it is a table of its own.
@@ -23,7 +27,10 @@ def clean(docs: DataFrame, order: str, text: str = "text", source_name: str = "s
 def mix(cleaned: DataFrame, order: str, weights: DataFrame, target_chars: int, caps: dict[str, int], category: str = "source_type", source: str = "source_name") -> DataFrame:
     """Kept, first copies under source caps, category quotas by largest remainder, and the global target."""
     kept = cleaned.where("decision = 'keep' and not is_duplicate")
-    quotas = {r[category]: r["quota"] for r in mixture.apportion(weights, target_chars, category).limit(100_000).collect()}
+    rows = mixture.apportion(weights, target_chars, category).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    quotas = {r[category]: r["quota"] for r in rows}
     return mixture.quotas_and_caps(kept, order, F.length("text"), quotas, caps, target_chars, category, source)
 
 
@@ -71,9 +78,11 @@ def next_token(logits: DataFrame, key: str, column: str, k: int = 10, temperatur
 
 
 def compare_checkpoints(logits: dict[str, DataFrame], key: str, column: str, k: int = 10) -> DataFrame:
-    """Candidates of up to four checkpoints below each other."""
+    """Candidates of up to MAX_CHECKPOINTS checkpoints below each other; more are an error."""
+    if len(logits) > MAX_CHECKPOINTS:
+        raise ValueError(f"more than {MAX_CHECKPOINTS} checkpoints")
     out = None
-    for name, d in list(logits.items())[:4]:
+    for name, d in logits.items():
         c = next_token(d, key, column, k).withColumn("checkpoint", F.lit(name))
         out = c if out is None else out.unionByName(c)
     return out

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkFiles
@@ -106,6 +107,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize() writes inside go when the block ends: for work that repeats, such as the batches of a stream."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for _, at in _WRITTEN[before:]:
+            remove(at, spark)
+        del _WRITTEN[before:]
+
+
 @atexit.register
 def _clean() -> None:
     for folder in _ZIPPED:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textlake.functions import text as T
 from textlake.operators import dedup, rules
-from textlake.runtime import materialize
+from textlake.runtime import materialize, scratch
 
 
 def stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16, fmt: str = "parquet") -> DataFrame:
@@ -19,10 +19,15 @@ def ingest(source: DataFrame, out: str, checkpoint: str, order: str, text: str =
     """Cleans arriving documents and appends the kept ones whose compact key is new to the table at `out`.
 
     Earlier output is the state: each batch is de-duplicated in itself, then against the keys of the table by an anti join, so state never outgrows the
-    table and survives any restart. A batch that is replayed after a failure finds its own rows by batch id and adds nothing.
+    table and survives any restart; of the table only the column of keys is read. A batch that is replayed after a failure finds its own keys in the
+    table and adds nothing. What a batch writes for itself goes when it ends.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        with scratch(df.sparkSession):
+            take_in(df, batch_id)
+
+    def take_in(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         # The batch is read twice below, and its rules read the normalised text many times: both are tables of their own.
         clean = materialize(df.withColumn(text, T.normalize_clean(F.col(text))))
