@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
-from textlake.operators import audit, dedup, folds, mixture, rules, runs, tokens, vectors
+from textlake.operators import audit, bytebpe, dedup, folds, mixture, rules, runs, tokens, vectors
 from textlake.operators import lexicons as L
 from textlake.plans import pipelines
-from textlake.runtime import shared_dir, spread, table
+from textlake.runtime import materialize, shared_dir, spread, table
 from textlake.sources import readers
 
 QUERIES: dict = {}
@@ -796,6 +796,29 @@ def compression(spark, sf):
     return tokens.compression(d, "text", "n")
 
 
+@query("select doc_id, md5(text) as h, strlen(text)::bigint as bytes, 1::bigint as separators from documents where length(text) > 0")
+def byte_round_trips(spark, sf):
+    """Texts after byte-level encoding and decoding, where the last of their tokens ends, and the separators of the stream."""
+    d = table(spark, sf, "documents").where("length(text) > 0").select("doc_id", "text")
+    v = bytebpe.train(d, "text", len(bytebpe.SPECIALS) + 256 + 12)
+    e = materialize(bytebpe.decode(bytebpe.encode(d, v, separator="<eos>"), v))
+    ends = bytebpe.preview(e, v, "doc_id").groupBy("doc_id").agg(F.max("end").cast("bigint").alias("bytes"), F.count_if(F.col("kind") == "special").alias("separators"))
+    return e.select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("h")).join(ends, "doc_id")
+
+
+@query(f"select token, length(token)::int as chars, n from (select token, count(*) as n from (select unnest({WORDS}) as token from documents) group by 1) order by chars desc, token limit 40")
+def longest_tokens(spark, sf):
+    """The 40 longest word tokens: a report."""
+    return tokens.longest_tokens(table(spark, sf, "documents"), tokens.words(F.col("text")), 40)
+
+
+@query()
+def byte_bpe_merges(spark, sf):
+    """Merges are an iteration; a test holds them against a public trainer."""
+    v = bytebpe.train(table(spark, sf, "documents"), "text", len(bytebpe.SPECIALS) + 256 + 20)
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(v.merges)], "rank int, left string, right string")
+
+
 @query()
 def bpe_merges(spark, sf):
     """Merges are an iteration."""

@@ -67,6 +67,12 @@ def token_histogram(df: DataFrame, tokens: Column, top: int | None = 80) -> Data
     return d.orderBy(F.desc("n"), F.asc("token")).limit(top) if top else d
 
 
+def longest_tokens(df: DataFrame, tokens: Column, n: int) -> DataFrame:
+    """(token, chars, n): the longest tokens of a corpus with their counts, ties by token."""
+    d = token_histogram(df, tokens, None)
+    return d.select("token", F.length("token").alias("chars"), "n").orderBy(F.desc("chars"), F.asc("token")).limit(n)
+
+
 def unknown_ratio(df: DataFrame, vocab: DataFrame, tokens: Column, token: str = "token") -> DataFrame:
     """(tokens, unknown, ratio) of a corpus against a vocabulary."""
     n = df.select(F.explode(tokens).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("n"))
