@@ -958,7 +958,7 @@ def _alerts_sql(share: float) -> str:
     each = " union all ".join(f"select run_id, '{k}' as key, '{s}' as severity from s where {t}" for k, (s, t) in tests.items())
     return f"""(with t as (select min(epoch_us(logged_at)) / 1e6 as a, max(epoch_us(logged_at)) / 1e6 as b from training_log where run_id is not null), l as (select *, epoch_us(logged_at) / 1e6 as secs, a + {share} * (b - a) as now from training_log, t where run_id is not null and logged_at is not null),
       s as (select run_id, max(now) - max(secs) as age, max(now) - max(case when status_source = 'heartbeat' then secs end) as hb, max(step) as step, max(case when status_source = 'eval' then step end) as last_eval_step,
-        arg_max_null(train_loss, {{'a': secs, 'b': log_id}}) as train_loss, arg_max_null(val_loss, {{'a': secs, 'b': log_id}}) as val_loss, arg_max_null(learning_rate, {{'a': secs, 'b': log_id}}) as learning_rate from l where secs <= now group by 1) {each})"""
+        arg_max({{'v': train_loss}}, {{'a': secs, 'b': log_id}})['v'] as train_loss, arg_max({{'v': val_loss}}, {{'a': secs, 'b': log_id}})['v'] as val_loss, arg_max({{'v': learning_rate}}, {{'a': secs, 'b': log_id}})['v'] as learning_rate from l where secs <= now group by 1) {each})"""
 
 
 @query(f"select * from {_alerts_sql(1.0)}")
