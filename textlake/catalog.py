@@ -940,11 +940,12 @@ def _status(spark: SparkSession, sf: str, share: float) -> DataFrame:
     """A status row per run, as of a share of its log's time."""
     d = log(spark, sf).where("run_id is not null and logged_at is not null")
     end = d.agg(F.max("logged_at").alias("end"), F.min("logged_at").alias("begin"))
-    d = d.crossJoin(F.broadcast(end)).withColumn("_s", F.unix_micros(F.col("logged_at").cast("timestamp")) / 1e6).withColumn("_now", F.unix_micros(F.col("begin").cast("timestamp")) / 1e6 + share * (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp"))) / 1e6)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    d = d.crossJoin(F.broadcast(end)).withColumns({"_s": us("logged_at"), "_now": us("begin") + (F.lit(share) * (us("end") - us("begin"))).cast("bigint")})
     d = d.where(F.col("_s") <= F.col("_now"))
     at = F.struct("_s", "log_id")
     return d.groupBy("run_id").agg(
-        (F.max("_now") - F.max("_s")).alias("status_age"), (F.max("_now") - F.max(F.when(F.col("status_source") == "heartbeat", F.col("_s")))).alias("heartbeat_age"), F.max("step").alias("step"), F.max("step").alias("local_step"),
+        ((F.max("_now") - F.max("_s")) / 1e6).alias("status_age"), ((F.max("_now") - F.max(F.when(F.col("status_source") == "heartbeat", F.col("_s")))) / 1e6).alias("heartbeat_age"), F.max("step").alias("step"), F.max("step").alias("local_step"),
         F.max(F.when(F.col("status_source") == "eval", F.col("step"))).alias("last_eval_step"), F.max_by("train_loss", at).alias("train_loss"), F.max_by("val_loss", at).alias("val_loss"), F.max_by("learning_rate", at).alias("learning_rate"),
     ).withColumns({"state": F.lit("running"), "heartbeat_interval": F.lit(25), "eval_interval": F.lit(250), "checkpoint_interval": F.lit(0), "checkpoint_step": F.lit(None).cast("bigint")})
 
@@ -956,8 +957,8 @@ def _alerts_sql(share: float) -> str:
         "val_loss_nonfinite": ("critical", f"val_loss is not null and ({FINITE.format('val_loss')}) is null"), "learning_rate_missing": ("warning", f"({FINITE.format('learning_rate')}) is null"), "eval_stale_by_step": ("warning", "step - last_eval_step > 500"), "eval_missing": ("warning", "step >= 0 and last_eval_step is null"),
     }
     each = " union all ".join(f"select run_id, '{k}' as key, '{s}' as severity from s where {t}" for k, (s, t) in tests.items())
-    return f"""(with t as (select min(epoch_us(logged_at)) / 1e6 as a, max(epoch_us(logged_at)) / 1e6 as b from training_log where run_id is not null), l as (select *, epoch_us(logged_at) / 1e6 as secs, a + {share} * (b - a) as now from training_log, t where run_id is not null and logged_at is not null),
-      s as (select run_id, max(now) - max(secs) as age, max(now) - max(case when status_source = 'heartbeat' then secs end) as hb, max(step) as step, max(case when status_source = 'eval' then step end) as last_eval_step,
+    return f"""(with t as (select min(epoch_us(logged_at)) as a, max(epoch_us(logged_at)) as b from training_log where run_id is not null), l as (select *, epoch_us(logged_at) as secs, a + trunc({share}::double * (b - a))::bigint as now from training_log, t where run_id is not null and logged_at is not null),
+      s as (select run_id, (max(now) - max(secs)) / 1e6 as age, (max(now) - max(case when status_source = 'heartbeat' then secs end)) / 1e6 as hb, max(step) as step, max(case when status_source = 'eval' then step end) as last_eval_step,
         arg_max({{'v': train_loss}}, {{'a': secs, 'b': log_id}})['v'] as train_loss, arg_max({{'v': val_loss}}, {{'a': secs, 'b': log_id}})['v'] as val_loss, arg_max({{'v': learning_rate}}, {{'a': secs, 'b': log_id}})['v'] as learning_rate from l where secs <= now group by 1) {each})"""
 
 
