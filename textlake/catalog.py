@@ -400,10 +400,10 @@ def clean_decision_summary(spark, sf):
     return audit.clean_totals(dedup.mark_duplicates(d, key, F.col("row_id")), "source_type")
 
 
-@query(f"with {FLAGS} select row_id, unnest(flags) as flag, decision from h")
+@query(f"with {FLAGS} select row_id, source_kind, array_to_string(flags, ',') as flags, decision from h")
 def rule_decisions(spark, sf):
-    """One row for each rule that a document breaks."""
-    return _decided(spark, sf).select("row_id", F.explode("flags").alias("flag"), "decision")
+    """All 27 rules."""
+    return _decided(spark, sf).select("row_id", "source_kind", F.array_join("flags", ",").alias("flags"), "decision")
 
 
 @query(f"""with c as (select * replace ({_clean("coalesce(text, '')")} as text) from adapted_document), {_flags("c")}
